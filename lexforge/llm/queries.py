@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, quality, shards
+from . import chat, minhash, packing, quality, shards
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,6 +12,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": lambda spark, d: quality.quality_report(_t(spark, d, "documents")),
     "op3_minhash_near_dedup": lambda spark, d: minhash.near_pairs(_t(spark, d, "documents")),
+    "op4_best_fit_packing": lambda spark, d: packing.pack(_t(spark, d, "documents")),
     "op5_chat_formatting": lambda spark, d: chat.chat_format(_t(spark, d, "conversations")),
     "op6_sharding": lambda spark, d: shards.assign_shards(_t(spark, d, "documents").select("doc_id", "text")),
 }
