@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, packing, quality, shards
+from . import chat, minhash, packing, quality, shards, suffix
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -10,6 +10,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": lambda spark, d: suffix.repeated_passages(_t(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality.quality_report(_t(spark, d, "documents")),
     "op3_minhash_near_dedup": lambda spark, d: minhash.near_pairs(_t(spark, d, "documents")),
     "op4_best_fit_packing": lambda spark, d: packing.pack(_t(spark, d, "documents")),
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_suffix_array_dedup": suffix.ORACLE_SQL,
     "op2_quality_rules": quality.oracle_sql(),
     "op5_chat_formatting": chat.ORACLE_SQL,
     "op6_sharding": shards.ORACLE_SQL,
