@@ -37,6 +37,8 @@ RULES_BY_NAME = {r[0]: r for r in RULES}
 
 _BLANK = " \\t\\n\\r\\f"
 _SIGNS = ".,;:!?'\"()-"
+#: Signs that words lose.
+_ENDS = ".,;:!?"
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -44,37 +46,36 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def measures(text: Column) -> list[dict[str, Column]]:
-    """Expressions by name in layers, each of which may use the names of the layers before it. One projection each, which
-    Catalyst keeps apart so that the words are split once."""
+    """Expressions by name in layers, each of which may use the names of the layers before it."""
     c = F.col
     return [
         {"_t": F.coalesce(text, F.lit(""))},
         {
-            "_words": F.filter(F.split(F.lower(c("_t")), f"[{_BLANK}]+"), lambda w: w != ""),
-            "_lines": F.filter(F.split(c("_t"), "\\n"), lambda x: F.trim(x) != ""),
-            "n_chars_seen": F.length("_t"),
-            "_blank": F.length("_t") - F.length(F.translate("_t", " \t\n\r\f", "")),
-            "_alnum": F.length("_t") - F.length(F.regexp_replace("_t", "[\\p{L}\\p{N}\\p{M}]+", "")),
+            "_words": F.filter(F.split(F.translate(F.lower("_t"), _ENDS, ""), f"[{_BLANK}]+"), lambda w: w != ""),
+            "_lines": F.filter(F.split("_t", "\n"), lambda x: F.trim(x) != ""),
+            "_plain": F.regexp_replace("_t", f"[^\\p{{L}}{_BLANK}]+", ""),
+            "_digits": F.length(F.regexp_replace("_t", "[^\\p{N}\\p{M}]+", "")),
             "_signs": F.length("_t") - F.length(F.translate("_t", _SIGNS, "")),
-            "_upper": F.length("_t") - F.length(F.regexp_replace("_t", "\\p{Lu}+", "")),
-            "_letters": F.length("_t") - F.length(F.regexp_replace("_t", "\\p{L}+", "")),
+            "_bars": F.size(F.filter(F.split("_t", "\n"), lambda x: x.contains("|"))),
+            "n_chars_seen": F.length("_t"),
         },
         {
             "n_words": F.size("_words"),
             "n_lines": F.size("_lines"),
-            "_bare": F.transform("_words", lambda w: F.regexp_replace(w, "[.,;:!?]+$", "")),
-            "_alpha_words": F.size(F.filter("_words", lambda w: w.rlike("\\p{L}"))),
-            "_bar_lines": F.size(F.filter("_lines", lambda x: x.contains("|"))),
+            "_blank": F.length("_plain") - F.length(F.translate("_plain", " \t\n\r\f", "")),
+            "_upper": F.length(F.regexp_replace("_plain", "[^\\p{Lu}]+", "")),
+            "_alpha_words": F.regexp_count("_plain", F.lit(f"[^{_BLANK}]+")),
+            "_letters": F.length("_plain"),
         },
         {
             "mean_word_chars": _ratio(c("n_chars_seen") - c("_blank"), c("n_words")),
-            "symbol_ratio": _ratio(c("n_chars_seen") - c("_blank") - c("_alnum") - c("_signs"), c("n_chars_seen")),
-            "upper_ratio": _ratio(c("_upper"), c("_letters")),
+            "symbol_ratio": _ratio(c("n_chars_seen") - c("_letters") - c("_digits") - c("_signs"), c("n_chars_seen")),
+            "upper_ratio": _ratio(c("_upper"), c("_letters") - c("_blank")),
             "alpha_word_ratio": _ratio(c("_alpha_words"), c("n_words")),
-            "stop_word_ratio": _ratio(F.size(F.filter("_bare", lambda w: w.isin(STOP_WORDS))), c("n_words")),
+            "stop_word_ratio": _ratio(F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))), c("n_words")),
             "distinct_word_ratio": _ratio(F.size(F.array_distinct("_words")), c("n_words")),
             "duplicate_line_ratio": _ratio(c("n_lines") - F.size(F.array_distinct("_lines")), c("n_lines")),
-            "bar_line_ratio": _ratio(c("_bar_lines"), c("n_lines")),
+            "bar_line_ratio": _ratio(c("_bars"), c("n_lines")),
         },
     ]
 
@@ -85,21 +86,22 @@ def verdict(rules=None) -> Column:
     for name, least, most, words in rules or RULES:
         fits = F.lit(True)
         if least is not None:
-            fits &= F.col(name) >= F.lit(least)
+            fits &= F.col(f"m.{name}") >= F.lit(least)
         if most is not None:
-            fits &= F.col(name) <= F.lit(most)
-        ok &= (F.col("n_words") < words) | fits
+            fits &= F.col(f"m.{name}") <= F.lit(most)
+        ok &= (F.col("m.n_words") < words) | fits
     return ok
 
 
 def measured(docs: DataFrame, text: str = "text", rules=None) -> DataFrame:
-    """Struct `_doc` of the given columns, the measures, and `keep`."""
+    """Struct `_doc` of the given columns, struct `m` of the measures, and `keep`. The measures leave a generator of one row,
+    through which no filter is pushed: pushed down, it would hold every expression again, once for each use."""
     df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    first = True
-    for layer in measures(F.col(f"_doc.`{text}`")):
-        df = df.withColumns(layer) if not first else df.select("_doc", *[e.alias(n) for n, e in layer.items()])
-        first = False
-    return df.withColumn("keep", verdict(rules))
+    layers = measures(F.col(f"_doc.`{text}`"))
+    for layer in layers[:-1]:
+        df = df.withColumns(layer)
+    m = F.struct("n_words", *[e.alias(n) for n, e in layers[-1].items()])
+    return df.select("_doc", F.explode(F.array(m)).alias("m")).select("_doc", "m", verdict(rules).alias("keep"))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules=None) -> DataFrame:
@@ -113,7 +115,7 @@ SHOWN = [r[0] for r in RULES]
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=None) -> DataFrame:
     """doc_id and rounded measures of each row that is kept."""
     kept = measured(docs.select(doc_id, text), text, rules).filter("keep")
-    return kept.select(F.col(f"_doc.`{doc_id}`").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), *[F.round(n, 6).alias(n) for n in SHOWN if n != "n_words"])
+    return kept.select(F.col(f"_doc.`{doc_id}`").alias("doc_id"), F.col("m.n_words").cast("long").alias("n_words"), *[F.round(f"m.{n}", 6).alias(n) for n in SHOWN if n != "n_words"])
 
 
 def oracle_sql(rules=None) -> str:
@@ -129,20 +131,21 @@ def oracle_sql(rules=None) -> str:
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 a AS (SELECT doc_id, t, length(t) AS nc,
-  list_filter(regexp_split_to_array(lower(t), '{blank}+'), lambda w: w <> '') AS words,
+  list_filter(regexp_split_to_array(translate(lower(t), '{_ENDS}', ''), '{blank}+'), lambda w: w <> '') AS words,
   list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS lines,
   length(t) - length(regexp_replace(t, '{blank}', '', 'g')) AS blank,
-  length(t) - length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')) AS alnum,
+  length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters,
+  length(regexp_replace(t, '[^\\p{{N}}\\p{{M}}]', '', 'g')) AS digits,
   length(t) - length(translate(t, '{signs}', '')) AS signs,
-  length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS upper,
-  length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters FROM t),
+  length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS upper,
+  len(list_filter(regexp_split_to_array(t, '{blank}+'), lambda w: regexp_matches(w, '\\p{{L}}'))) AS alpha FROM t),
 b AS (SELECT *, len(words) AS n_words, len(lines) AS n_lines FROM a),
 c AS (SELECT doc_id, n_words,
   {r("nc - blank", "n_words")} AS mean_word_chars,
-  {r("nc - blank - alnum - signs", "nc")} AS symbol_ratio,
+  {r("nc - blank - letters - digits - signs", "nc")} AS symbol_ratio,
   {r("upper", "letters")} AS upper_ratio,
-  {r("len(list_filter(words, lambda w: regexp_matches(w, '\\p{L}')))", "n_words")} AS alpha_word_ratio,
-  {r(f"len(list_filter(words, lambda w: regexp_replace(w, '[.,;:!?]+$', '') IN ({stop})))", "n_words")} AS stop_word_ratio,
+  {r("alpha", "n_words")} AS alpha_word_ratio,
+  {r(f"len(list_filter(words, lambda w: w IN ({stop})))", "n_words")} AS stop_word_ratio,
   {r("len(list_distinct(words))", "n_words")} AS distinct_word_ratio,
   {r("n_lines - len(list_distinct(lines))", "n_lines")} AS duplicate_line_ratio,
   {r("len(list_filter(lines, lambda x: contains(x, '|')))", "n_lines")} AS bar_line_ratio FROM b)
