@@ -405,7 +405,7 @@ ORACLE_SQL = f"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(0, len(w) - {MIN_WORDS - 1})) AS p, w FROM t WHERE len(w) >= {MIN_WORDS}),
 k AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + {MIN_WORDS}], ' ')) AS k FROM p),
-f AS (SELECT doc_id, p, first_value({{'d': doc_id, 'p': p}}) OVER (PARTITION BY k ORDER BY doc_id, p) AS f FROM k),
-l AS (SELECT doc_id, f.d AS first_doc_id, p, lag(p) OVER (PARTITION BY doc_id, f.d ORDER BY p) AS q FROM f WHERE (f.d, f.p) <> (doc_id, p)),
+f AS (SELECT doc_id, p, first_value({{'d': doc_id, 'p': p}}) OVER (PARTITION BY k ORDER BY doc_id, p) AS o FROM k),
+l AS (SELECT doc_id, o.d AS first_doc_id, p, lag(p) OVER (PARTITION BY doc_id, o.d ORDER BY p) AS q FROM f WHERE o.d <> doc_id OR o.p <> p),
 i AS (SELECT *, sum(CASE WHEN p <= q + {MIN_WORDS} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, first_doc_id ORDER BY p) AS island FROM l)
 SELECT doc_id, first_doc_id, min(p)::INT AS start_word, (max(p) + {MIN_WORDS})::INT AS end_word FROM i GROUP BY doc_id, first_doc_id, island"""
