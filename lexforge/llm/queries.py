@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, packing, quality, shards, suffix
+from . import chat, decontam, minhash, packing, quality, shards, suffix, tokens
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ QUERIES = {
     "op4_best_fit_packing": lambda spark, d: packing.pack(_t(spark, d, "documents")),
     "op5_chat_formatting": lambda spark, d: chat.chat_format(_t(spark, d, "conversations")),
     "op6_sharding": lambda spark, d: shards.assign_shards(_t(spark, d, "documents").select("doc_id", "text")),
+    "op7_token_ids": lambda spark, d: tokens.token_blocks(_t(spark, d, "documents")),
     "op9_benchmark_decontamination": lambda spark, d: decontam.contaminated(_t(spark, d, "documents"), _t(spark, d, "benchmark")),
 }
 
