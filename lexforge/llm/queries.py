@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, packing, quality, shards, suffix, tokens
+from . import chat, decontam, minhash, packing, quality, shards, suffix, tokens, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,7 @@ QUERIES = {
     "op5_chat_formatting": lambda spark, d: chat.chat_format(_t(spark, d, "conversations")),
     "op6_sharding": lambda spark, d: shards.assign_shards(_t(spark, d, "documents").select("doc_id", "text")),
     "op7_token_ids": lambda spark, d: tokens.token_blocks(_t(spark, d, "documents")),
+    "op8_url_filter": lambda spark, d: urls.url_report(_t(spark, d, "pages")),
     "op9_benchmark_decontamination": lambda spark, d: decontam.contaminated(_t(spark, d, "documents"), _t(spark, d, "benchmark")),
 }
 
