@@ -1,0 +1,278 @@
+"""LM scoring by online logistic context mixing: bits per byte of every document.
+
+Each byte is a walk down a binary tree chosen by the byte before it (a Huffman tree of the corpus' byte pairs), so a byte costs
+about as many binary predictions as its bits of information. ORDERS hashed contexts (the tree node alone; 2, 3 and 4 bytes
+before; the word so far) each look up a bit predictor; their stretched probabilities are mixed by weights and squashed.
+
+Gathered from the corpus: (1) byte pair counts; (2) for each order a table of 2^bits slots with the counts of zeros and ones
+seen after the hashed context and node. Each task counts its own texts and sends the counts in RANGES compressed ranges an order, which
+are summed where they meet; so what is gathered grows with the corpus, while the model (one 16-bit number a slot) has the size that
+SLOT_BITS sets, and is broadcast.
+
+Online: text is cut into lanes of LANE bytes at most (contexts reach over the cuts, weights don't). The weights of a prediction
+are the lane's weight vector times the factor of its gate, which is the number of orders that have seen its context. After every bit
+the vector moves against the error by RATE, so weights adapt to the text as it is read. Lanes are independent, so results don't depend on partitioning, and thousands of
+lanes step together in numpy. A document's bits are the sum of all its predictions' code lengths.
+
+Defined results: null and empty texts have 0 bytes, 0 bits and null bits a byte; repeated rows are scored alike (and counted each);
+a null doc_id is scored; other columns are ignored; an empty table gives an empty result. Texts are scored whole.
+"""
+
+from __future__ import annotations
+
+import heapq
+import pickle
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import words as W
+
+ORDERS = ("node", "2", "3", "4", "word")
+SLOT_BITS = (16, 20, 22, 22, 22)
+RANGES, LANE, RATE, SCALE, BLOCK = 64, 1024, 0.02, 256.0, 64
+TRAIN_BYTES, SCORE_BYTES = 2 << 20, 5 << 19
+U32 = np.uint32
+
+
+class Trees:
+    """Huffman trees of the byte after each byte: code lengths, and for each (before, byte) the nodes and bits of its walk."""
+
+    def __init__(self, pairs: np.ndarray):
+        """pairs: 256 x 256 counts."""
+        self.length = np.zeros(65536, np.int64)
+        nodes, bits = [], []
+        for before in range(256):
+            heap = [(int(c) * 256 + 1, s, s) for s, c in enumerate(pairs[before])]
+            heapq.heapify(heap)
+            parent, side, made = {}, {}, 256
+            while len(heap) > 1:
+                a, _, x = heapq.heappop(heap)
+                b, _, y = heapq.heappop(heap)
+                parent[x], parent[y], side[x], side[y] = made, made, 0, 1
+                heapq.heappush(heap, (a + b, made, made))
+                made += 1
+            for s in range(256):
+                walk, x = [], s
+                while x in parent:
+                    walk.append((before << 8 | (parent[x] - 256), side[x]))
+                    x = parent[x]
+                self.length[before << 8 | s] = len(walk)
+                nodes += [n for n, _ in walk[::-1]]
+                bits += [b for _, b in walk[::-1]]
+        self.start = np.cumsum(self.length) - self.length
+        self.node, self.bit = np.array(nodes, np.uint16), np.array(bits, np.uint8)
+
+
+def before(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The byte before each, 0 at the start of a document."""
+    out = np.zeros(len(data), np.uint8)
+    out[1:] = data[:-1]
+    out[offs[:-1][np.diff(offs) > 0]] = 0
+    return out
+
+
+def events(trees: Trees, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first event of each byte and their number, byte, node, bit): all binary predictions of the texts, in order."""
+    pair = before(data, offs).astype(np.int64) << 8 | data
+    size = trees.length[pair]
+    at = W.ranges(trees.start[pair], size)
+    return np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(data), dtype=np.int32), size), trees.node[at], trees.bit[at]
+
+
+def contexts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """A 32-bit hash of the context of each byte, for each order but the first."""
+    n = len(data)
+    reach = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
+    full = np.zeros(n, np.uint64)
+    for k in range(1, 5):
+        x = np.zeros(n, np.uint64)
+        x[k:] = data[: max(n - k, 0)]
+        x[reach < k] = 0
+        full |= x << np.uint64(8 * (k - 1))
+    out = [(W.mix((full & np.uint64((1 << 8 * k) - 1)) + np.uint64(k << 56)) >> np.uint64(32)).astype(U32) for k in (2, 3, 4)]
+    part = (data >= 128) | np.isin(data, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+    begin = np.zeros(n + 1, np.int64)  # where the word before each byte begins
+    begin[1:] = np.where(part, 0, np.arange(1, n + 1))
+    begin[offs] = np.maximum(begin[offs], offs)
+    begin = np.maximum.accumulate(begin)[:n]
+    with np.errstate(over="ignore"):
+        c = np.zeros(n + 1, np.uint64)
+        np.cumsum(W.BYTE_VALUE[data] * W.powers(W.P, n), out=c[1:])
+        word = W.mix((c[:n] - c[begin]) * W.powers(W.inverse(W.P), n + 1)[begin])
+    return [*out, (word >> np.uint64(32)).astype(U32)]
+
+
+def slots(ctx: list[np.ndarray], byte: np.ndarray, node: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """The slot of each event."""
+    if order == 0:
+        return node
+    with np.errstate(over="ignore"):
+        x = ctx[order - 1].take(byte)
+        x ^= node.astype(U32) * U32(0x9E3779B1)
+        x *= U32(0x85EBCA6B)
+        x ^= x >> U32(15)
+        x *= U32(0xC2B2AE35)
+        return x >> U32(32 - bits)
+
+
+def _pairs(batches):
+    total = np.zeros(65536, np.int64)
+    for _, data, offs in W.chunks(batches):
+        if len(data):
+            total += np.bincount(before(data, offs).astype(np.int64) << 8 | data, minlength=65536)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+
+
+def _counts(trees, bits: tuple):
+    def run(batches):
+        t = pickle.loads(trees.value)
+        total = [np.zeros(2 << b, np.uint32) for b in bits]
+        for _, data, offs in W.chunks(batches, size=TRAIN_BYTES):
+            if not len(data):
+                continue
+            _, byte, node, bit = events(t, data, offs)
+            ctx = contexts(data, offs)
+            for k, b in enumerate(bits):
+                x = slots(ctx, byte, node, k, b).astype(np.int64)
+                x <<= 1
+                x |= bit
+                if len(x) * 4 < 2 << b:
+                    np.add.at(total[k], x, np.uint32(1))
+                else:
+                    total[k] += np.bincount(x, minlength=2 << b).astype(np.uint32)
+        for k, b in enumerate(bits):
+            part = (2 << b) // RANGES
+            rows = [pa.compress(total[k][r * part : (r + 1) * part].tobytes(), codec="zstd", asbytes=True) for r in range(RANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32) + k * RANGES), pa.array(rows, pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The predictor of a slot: logit of its share of ones, in 1 / SCALE; 0 where nothing was seen."""
+    x = np.log((ones + 0.4) / (zeros + 0.4))
+    x = np.rint(np.clip(x, -12, 12) * SCALE).astype(np.int16)
+    return np.where((zeros + ones > 0) & (x == 0), 1, x)
+
+
+def _sums(bits: tuple):
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                size = (2 << bits[part // RANGES]) // RANGES
+                own = np.frombuffer(pa.decompress(raw, decompressed_size=size * 4, codec="zstd", asbytes=True), np.uint32)
+                if part in total:
+                    total[part] += own
+                else:
+                    total[part] = own.astype(np.int64)
+        for part, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([stretched(x[::2], x[1::2]).tobytes()], pa.binary())], ["part", "table"])
+
+    return run
+
+
+def train(docs: DataFrame, bits: tuple = SLOT_BITS) -> tuple[Trees, list[np.ndarray]]:
+    """(trees, tables) from all texts."""
+    sc = docs.sparkSession.sparkContext
+    text = docs.select("text")
+    pairs = np.zeros(65536, np.int64)
+    for r in text.mapInArrow(_pairs, "pair int, n long").groupBy("pair").sum("n").collect():
+        pairs[r[0]] = r[1]
+    trees = Trees(pairs.reshape(256, 256))
+    sent = sc.broadcast(pickle.dumps(trees))
+    parts = text.mapInArrow(_counts(sent, bits), "part int, counts binary").repartition("part").mapInArrow(_sums(bits), "part int, table binary")
+    tables = [np.zeros(1 << b, np.int16) for b in bits]
+    for r in parts.toLocalIterator():
+        k, i = divmod(r.part, RANGES)
+        size = (1 << bits[k]) // RANGES
+        tables[k][i * size : (i + 1) * size] = np.frombuffer(r.table, np.int16)
+    return trees, tables
+
+
+def gate_factors(n: int) -> np.ndarray:
+    """For each number of orders that have seen the context: the fewer, the more each of them weighs."""
+    return (0.25 + 0.5 / (np.arange(n) + 1)).astype(np.float32)
+
+
+def code_lengths(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.ndarray, offs: np.ndarray, lane: int = LANE, rate: float = RATE) -> np.ndarray:
+    """Bits of each text."""
+    n_docs, n = len(offs) - 1, len(bits)
+    if not len(data):
+        return np.zeros(n_docs)
+    per_byte, byte, node, bit = events(trees, data, offs)
+    ctx = contexts(data, offs)
+    seen = np.zeros((len(byte), 8), np.int16)  # of an event: predictors, gate, bit; 16 bytes, fetched at once
+    gate = np.zeros(len(byte), np.int16)
+    for k in range(n):
+        x = tables[k].take(slots(ctx, byte, node, k, bits[k]))
+        seen[:, k] = x
+        if k:
+            gate += x != 0
+    seen[:, 6], seen[:, 7] = gate, bit
+    seen = seen.view(np.complex128).reshape(-1)
+    del byte, node, bit, ctx, gate
+    parts = -(-np.diff(offs) // lane)
+    doc = np.repeat(np.arange(n_docs), parts)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    a = offs[doc] + nth * lane
+    b = np.minimum(a + lane, offs[doc + 1])
+    ev, count = per_byte[a], per_byte[b] - per_byte[a]
+    o = np.argsort(-count, kind="stable")
+    doc, ev, count = doc[o], ev[o], count[o]
+    weights = np.ones((n, len(o)), np.float32)
+    total = np.zeros(len(o))
+    factor = gate_factors(n) * np.float32(1 / SCALE)
+    for s0 in range(0, int(count[0]), BLOCK):
+        steps = min(BLOCK, int(count[0]) - s0)
+        live = np.searchsorted(-count, -(s0 + np.arange(steps)), "left")  # lanes with more than s events come first
+        m = int(live[0])
+        at = np.minimum(ev[None, :m] + (s0 + np.arange(steps))[:, None], len(seen) - 1)
+        own = seen.take(at).view(np.int16).reshape(steps, m, 8)
+        x = own[:, :, :n].transpose(0, 2, 1).astype(np.float32, order="C")
+        x *= factor.take(own[:, :, 6])[:, None, :]
+        aim = own[:, :, 7].astype(np.float32)
+        dots = np.zeros((steps, m), np.float32)
+        for s, k in enumerate(live.tolist()):
+            w, xs = weights[:, :k], x[s, :, :k]
+            dot = np.einsum("nl,nl->l", w, xs, out=dots[s, :k])
+            np.minimum(dot, 14, out=dot)
+            np.maximum(dot, -14, out=dot)
+            err = np.exp(-dot)
+            err += 1
+            np.divide(-1, err, out=err)
+            err += aim[s, :k]
+            err *= np.float32(rate)
+            w += err * xs
+        cost = np.log(1 + np.exp(dots * (1 - 2 * aim)))
+        cost[np.arange(m)[None, :] >= live[:, None]] = 0
+        total[:m] += cost.sum(axis=0, dtype=np.float64)
+    return np.bincount(doc, weights=total / np.log(2), minlength=n_docs)
+
+
+def _scores(model, bits: tuple):
+    def run(batches):
+        trees, tables = pickle.loads(model.value)
+        for b, data, offs in W.chunks(batches, size=SCORE_BYTES):
+            found = code_lengths(trees, tables, bits, data, offs)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(found)], ["doc_id", "n_bytes", "bits"])
+
+    return run
+
+
+def score(docs: DataFrame, model: tuple[Trees, list[np.ndarray]], bits: tuple = SLOT_BITS) -> DataFrame:
+    """(doc_id, n_bytes, bits, bits_per_byte) under a trained model."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = src.mapInArrow(_scores(sent, bits), "doc_id long, n_bytes long, bits double")
+    per = F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes"))
+    return out.select("doc_id", "n_bytes", F.round("bits", 2).alias("bits"), F.round(per, 4).alias("bits_per_byte"))
+
+
+def bits_per_byte(docs: DataFrame, bits: tuple = SLOT_BITS) -> DataFrame:
+    """score() of docs under a model of docs."""
+    return score(docs, train(docs, bits), bits)

@@ -6,6 +6,8 @@ other. All hashes are 64-bit and wrap around.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +37,17 @@ def inverse(p: int) -> int:
 
 
 def powers(p: int, n: int) -> np.ndarray:
-    out = np.full(n, p, np.uint64)
-    if n:
-        out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
+    """p to the 0, 1, ... n - 1. The longest such array of this process is kept."""
+    box = sys.modules.setdefault("_lexforge_powers", types.ModuleType("_lexforge_powers")).__dict__
+    have = box.get(int(p))
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), p, np.uint64)
+        have[0] = 1
+        with np.errstate(over="ignore"):
+            have = np.cumprod(have, dtype=np.uint64)
+        if n <= 8 << 20:
+            box[int(p)] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,0 +1,144 @@
+"""LM scoring against a loop over single bits, and held-out accuracy."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from lexforge.llm import cmix as C
+from lexforge.llm import words as W
+
+BITS = (16, 12, 12, 14, 14)
+M32, M64 = 2**32 - 1, 2**64 - 1
+
+
+def batch(texts):
+    parts = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+def mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_slots(text, i, node):
+    """Slots of a prediction at byte i, from the definition."""
+    out = [node]
+    back = lambda j: text[i - j] if i - j >= 0 else 0
+    ctx = [mix(sum(back(j) << 8 * (j - 1) for j in range(1, k + 1)) + (k << 56) & M64) >> 32 for k in (2, 3, 4)]
+    a = i
+    while a and (text[a - 1] >= 128 or chr(text[a - 1]).isalnum()):
+        a -= 1
+    h = 0
+    for j, c in enumerate(text[a:i]):
+        h = (h + int(W.BYTE_VALUE[c]) * pow(int(W.P), j, 2**64)) & M64
+    ctx.append(mix(h) >> 32)
+    for k, c in enumerate(ctx, 1):
+        x = c ^ (node * 0x9E3779B1 & M32)
+        x = x * 0x85EBCA6B & M32
+        x ^= x >> 15
+        x = x * 0xC2B2AE35 & M32
+        out.append(x >> (32 - BITS[k]))
+    return out
+
+
+def walk(trees, text, i):
+    pair = (text[i - 1] if i else 0) << 8 | text[i]
+    a = int(trees.start[pair])
+    return [(int(trees.node[j]), int(trees.bit[j])) for j in range(a, a + int(trees.length[pair]))]
+
+
+def plain_bits(trees, tables, text):
+    total, w = 0.0, None
+    for i in range(len(text)):
+        if i % C.LANE == 0:
+            w = [1.0] * len(BITS)
+        for node, bit in walk(trees, text, i):
+            st = [int(tables[k][s]) for k, s in enumerate(plain_slots(text, i, node))]
+            seen = sum(x != 0 for x in st[1:])
+            x = [v / C.SCALE * (0.25 + 0.5 / (seen + 1)) for v in st]
+            dot = max(-14.0, min(14.0, sum(a * b for a, b in zip(w, x))))
+            p = 1 / (1 + math.exp(-dot))
+            total -= math.log2(p if bit else 1 - p)
+            w = [a + C.RATE * (bit - p) * b for a, b in zip(w, x)]
+    return total
+
+
+def plain_train(texts):
+    pairs = np.zeros((256, 256), np.int64)
+    for t in texts:
+        for i, c in enumerate(t):
+            pairs[t[i - 1] if i else 0, c] += 1
+    trees = C.Trees(pairs)
+    n = [np.zeros((2, 1 << b)) for b in BITS]
+    for t in texts:
+        for i in range(len(t)):
+            for node, bit in walk(trees, t, i):
+                for k, s in enumerate(plain_slots(t, i, node)):
+                    n[k][bit, s] += 1
+    return trees, [C.stretched(z, o) for z, o in n]
+
+
+TEXTS = ["the cat sat on the mat", "été à l'école", "", "a", "x" * 40, "the cat ate the rat. " * 60]
+
+
+def test_training_and_scores_equal_single_steps(spark):
+    raw = [t.encode() for t in TEXTS]
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
+    trees, tables = C.train(docs, BITS)
+    want_trees, want_tables = plain_train(raw)
+    assert (trees.length == want_trees.length).all() and (trees.node == want_trees.node).all()
+    assert all((a == b).all() for a, b in zip(tables, want_tables))
+    got = {r.doc_id: r for r in C.score(docs, (trees, tables), BITS).collect()}
+    for i, t in enumerate(raw):
+        assert got[i].n_bytes == len(t)
+        assert abs(got[i].bits - plain_bits(trees, tables, t)) < 0.02 + 1e-4 * len(t)
+
+
+def test_trees_are_complete_codes():
+    pairs = np.random.default_rng(1).integers(0, 50, (256, 256)) ** 3
+    pairs[7] = 0
+    t = C.Trees(pairs)
+    assert np.allclose((0.5 ** t.length.reshape(256, 256)).sum(axis=1), 1)
+    walks = {(t.node[s : s + n].tobytes(), t.bit[s : s + n].tobytes()) for s, n in zip(t.start, t.length)}
+    assert len(walks) == 65536
+
+
+def test_lanes_do_not_depend_on_the_batch():
+    docs = ["one text here " * 150, "another", "third one " * 300]
+    data, offs = batch(docs)
+    trees, tables = plain_train([b"one text here another third " * 3])
+    whole = C.code_lengths(trees, tables, BITS, data, offs)
+    for i, d in enumerate(docs):
+        assert abs(C.code_lengths(trees, tables, BITS, *batch([d]))[0] - whole[i]) < 1e-2
+
+
+def test_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars > 400").select("doc_id", "text")
+    model = C.train(docs.filter("doc_id % 2 = 0"))
+    rest = docs.filter("doc_id % 2 = 1")
+    rows = {r.doc_id: r for r in C.score(rest, model).collect()}
+    random.seed(2)
+    mixed = [(r.doc_id, "".join(random.sample(r.text, len(r.text)))) for r in rest.collect()]
+    worse = {r.doc_id: r for r in C.score(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()}
+    assert sum(rows[d].bits < worse[d].bits for d in rows) >= 0.97 * len(rows)
+    own = np.mean([r.bits_per_byte for r in rows.values()])
+    assert own < 3.0 and np.mean([r.bits_per_byte for r in worse.values()]) > own + 1
+
+
+@pytest.mark.parametrize("extra", ["n_bytes", "bits"])
+def test_odd_rows(spark, extra):
+    rows = [(1, None, 1), (2, "", 2), (None, "abc", 3), (4, "same", 4), (4, "same", 4), (5, "long text " * 20000, 5)]
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {extra} int")
+    out = C.bits_per_byte(df, BITS).collect()
+    assert len(out) == 6
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append((r.n_bytes, r.bits, r.bits_per_byte))
+    assert by[1] == by[2] == [(0, 0.0, None)] and by[4][0] == by[4][1] and by[5][0][0] == 200000
+    assert C.bits_per_byte(df.limit(0), BITS).collect() == []
