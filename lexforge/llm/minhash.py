@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import NO_ID, cut, did, free_name, keyed, maybe_broadcast, shared_dir, text_hash
+from .common import NO_ID, cut, delete, did, free_name, keyed, maybe_broadcast, shared_dir, text_hash
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 24, 4, 0.6
 SKETCH_SCHEMA = "did long, th long, f1 long, f2 long, bands array<long>"
@@ -188,15 +188,10 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other = mixed.select("band", F.col("key").alias("key2"), F.col("root").alias("root2"))
     rest = mixed.join(other, "band").filter("root != root2 and key > key2").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     more = cut(_verify(rest.join(stars, ["a", "b"], "left_anti"), texts, threshold))
-    _delete(spark, path)
+    delete(spark, path)
     return groups if more.isEmpty() else components(copies.union(found).union(more))
 
 
-def _delete(spark, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_doc_id): each document that goes, with the one of its group that stays."""
     out = duplicates(docs, threshold)
