@@ -1 +1,10 @@
-"""lexforge: token-budgeted context distillation as Spark plans."""
+"""lexforge: token-budgeted context distillation as Spark plans.
+
+Functions that run in Python workers are pickled by value, so that executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

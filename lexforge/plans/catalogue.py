@@ -1,6 +1,622 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the test tables and the SQL that gives the same rows.
+
+Rows of `documents` stand for source files and symbols; see FIXTURES.md. Every query reads its whole tables.
+"""
+
+from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import compress as C
+from ..functions import profiles as P
+from ..functions import text as T
+from ..operators import graph as G
+from ..operators import parse, ranking, semantic, serialize
+from ..sources import files as sources
+from ..sources import table
+from ..sources.shared import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL of the expressions
+
+LEX = T.lexeme_pattern("\\b").replace("'", "''")
+IN_KEYWORDS = ", ".join(f"'{k}'" for k in T.KEYWORDS)
+SP = T.SPACES.replace("\\x0B", "\\x{0B}")
+
+
+def u_(x: str) -> str:
+    return f"(length({x}) + len(regexp_extract_all({x}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
+def ceil_(x: str, ratio: float = 3.5) -> str:
+    return f"ceil({x} / {ratio}::DOUBLE)::BIGINT"
+
+
+def tok_(x: str) -> str:
+    weight = f"""CASE WHEN t IN (' ', chr(10), chr(13), chr(9)) THEN 1 WHEN t = '...' THEN 2 WHEN t IN ({IN_KEYWORDS}) THEN CASE WHEN length(t) <= 5 THEN 2 ELSE 3 END
+ WHEN t[1] BETWEEN '0' AND '9' THEN CASE WHEN length(t) <= 4 THEN 2 ELSE 3 END WHEN regexp_matches(t, '^[A-Za-z_$#]') THEN greatest(1, ceil({u_("t")} / 3.2::DOUBLE)::INT)
+ WHEN strlen(t) = 2 THEN 2 WHEN strlen(t) = 3 THEN 3 WHEN strlen(t) = 4 THEN 8 ELSE 1 END"""
+    return f"CASE WHEN length({x}) = 0 THEN 0 ELSE greatest(1, ceil(list_sum(list_transform(regexp_extract_all({x}, '{LEX}'), lambda t: {weight})) * 0.88::DOUBLE)::BIGINT) END"
+
+
+def sum_(x: str, pattern: str) -> str:
+    p = pattern.replace("'", "''").replace("\\x0B", "\\x{0B}")
+    return f"coalesce(list_sum(list_transform(regexp_extract_all({x}, '{p}'), lambda c: greatest(1, {ceil_(u_('c'))}))), 0)::BIGINT"
+
+
+def js_(x: str) -> str:
+    return f"floor({x} + 0.5::DOUBLE)"
+
+
+# --- tokens
+
+D = "documents"
+
+
+@query(f"SELECT doc_id, ({tok_('text')})::BIGINT AS tokens FROM documents")
+def token_estimate_documents(spark, d):
+    return table(spark, d, D).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+@query(
+    "SELECT doc_id, e AS encoding, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(" + u_("text") + " / r)::BIGINT) END AS tokens FROM documents, (VALUES "
+    + ", ".join(f"('{e}', {r}::DOUBLE)" for e, r in T.RATIOS.items()) + ") v(e, r)"
+)
+def token_estimate_fast_by_encoding(spark, d):
+    each = F.array(*[F.struct(F.lit(e).alias("encoding"), T.fast_tokens(F.col("text"), e).alias("tokens")) for e in T.RATIOS])
+    return table(spark, d, D).select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.*")
+
+
+_BD = f"""SELECT doc_id, ({tok_('text')})::BIGINT AS tokens, {u_('text')}::BIGINT AS characters, len(regexp_extract_all(text, '[^{SP}]+'))::BIGINT AS words,
+ CASE WHEN length(text) = 0 THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS lines, {sum_('text', T.COMMENT)} AS comment_tokens, {sum_('text', T.LITERAL)} AS string_tokens FROM documents"""
+
+
+@query(f"SELECT *, greatest(0, tokens - comment_tokens - string_tokens)::BIGINT AS code_tokens, floor(lines * 0.3::DOUBLE)::BIGINT AS whitespace_tokens FROM ({_BD})")
+def token_breakdown(spark, d):
+    return table(spark, d, D).select("doc_id", *[c.alias(n) for n, c in T.breakdown(F.col("text")).items()])
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, text, ({tok_('text')}) AS total, list_transform(string_split(text, chr(10)), lambda r: {{'line': r, 'cost': ({tok_('r')})::BIGINT}}) AS ls FROM documents),
+f AS (SELECT doc_id, text, total, list_reduce(ls, lambda a, r: CASE WHEN a.cost + r.cost > 200 AND len(a.open) > 0 THEN {{'done': list_append(a.done, array_to_string(a.open, chr(10))), 'open': [r.line], 'cost': r.cost}}
+ ELSE {{'done': a.done, 'open': list_append(a.open, r.line), 'cost': a.cost + r.cost}} END, {{'done': []::VARCHAR[], 'open': []::VARCHAR[], 'cost': 0::BIGINT}}) AS a FROM l),
+c AS (SELECT doc_id, CASE WHEN total <= 200 THEN [text] WHEN len(a.open) > 0 THEN list_append(a.done, array_to_string(a.open, chr(10))) ELSE a.done END AS chunks FROM f)
+SELECT doc_id, len(chunks)::BIGINT AS n_chunks, array_to_string(list_transform(chunks, lambda c: length(c)), ',') AS sizes FROM c"""
+)
+def split_to_fit_lines(spark, d):
+    c = table(spark, d, D).select("doc_id", T.split_to_fit(F.col("text"), 200).alias("chunks"))
+    return c.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.array_join(F.transform("chunks", lambda x: F.length(x).cast("string")), ",").alias("sizes"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"ceil(n_chars * {s}::DOUBLE)::BIGINT AS {k}" for k, s in T.SHARES.items()) + " FROM documents")
+def token_budget_categories(spark, d):
+    return table(spark, d, D).select("doc_id", *[c.alias(k) for k, c in T.budget(F.col("n_chars")).items()])
+
+
+@query(f"SELECT page_id, {u_('html')}::BIGINT AS characters, ({tok_('html')})::BIGINT AS tokens, round({u_('html')} / ({tok_('html')})::DOUBLE, 2) AS ratio, ({js_('n * 3.5::DOUBLE')})::BIGINT AS chars FROM (SELECT *, length(url) AS n FROM pages)")
+def count_tokens_pages(spark, d):
+    x = F.col("html")
+    return table(spark, d, "pages").select("page_id", T.units(x).cast("long").alias("characters"), T.tokens(x).alias("tokens"), T.chars_per_token(x).alias("ratio"), T.chars_of_tokens(F.length("url")).alias("chars"))
+
+
+# --- files
+
+EXT = {"en": "ts", "fr": "py", "de": "go", "es": "rs"}
+_FILES = "SELECT doc_id, source || '/' || doc_id || '.' || CASE lang " + " ".join(f"WHEN '{k}' THEN '{e}'" for k, e in EXT.items()) + " END AS path, text FROM documents"
+_LANG = "coalesce(map_extract_value(MAP {" + ", ".join(f"'{e}': '{k}'" for e, k in P.EXTENSIONS.items()) + "}, lower(list_last(string_split(%s, '.')))), 'typescript')"
+
+
+def doc_files(spark, d) -> DataFrame:
+    ext = F.create_map(*[F.lit(x) for kv in EXT.items() for x in kv])[F.col("lang")]
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return table(spark, d, D).select("doc_id", path.alias("path"), "text").withColumn("language", P.language_of(F.col("path")))
+
+
+@query(f"SELECT {_LANG % 'path'} AS language, count(*) AS files FROM ({_FILES}) GROUP BY 1")
+def language_distribution(spark, d):
+    return sources.languages(doc_files(spark, d))
+
+
+@query(f"SELECT count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum({ceil_(u_('text'))})::BIGINT AS tokens FROM documents")
+def codebase_totals(spark, d):
+    return sources.totals(table(spark, d, D).withColumn("content", F.col("text")))
+
+
+@query(f"SELECT page_id, {_LANG % 'url'} AS language FROM pages")
+def detect_language_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", P.language_of(F.col("url")).alias("language"))
+
+
+@query(
+    """WITH l AS (SELECT page_id, trim(unnest(string_split(html, chr(10))), ' ' || chr(9) || chr(13)) AS l FROM pages)
+SELECT page_id, count(*) FILTER (l = '') AS blank, count(*) FILTER (l LIKE '//%' OR l LIKE '*%' OR l LIKE '/*%') AS comment, count(*) FILTER (NOT (l = '' OR l LIKE '//%' OR l LIKE '*%' OR l LIKE '/*%')) AS code FROM l GROUP BY page_id"""
+)
+def line_class_stats(spark, d):
+    line = F.trim(F.col("line"), F.lit(" \t\r"))
+    kind = F.when(line == "", "blank").when(line.startswith("//") | line.startswith("*") | line.startswith("/*"), "comment").otherwise("code")
+    rows = table(spark, d, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line")).withColumn("kind", kind)
+    return rows.groupBy("page_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("blank", "comment", "code")])
+
+
+# --- compression
+
+
+def rx_(x: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+
+
+_LINE = T.NO_LINE_END
+_NOSP = SP.replace("\\n", "")
+
+
+@query("SELECT page_id, " + rx_(rx_(f"'  a' || chr(10) || ' ' || chr(10) || html", f"(?m)^[{SP}]*[\\r\\n]"), "[ \\t]{2,}", " ") + " AS code FROM pages")
+def compress_whitespace(spark, d):
+    x = F.concat(F.lit("  a\n \n"), F.col("html"))
+    return table(spark, d, "pages").select("page_id", C.collapse_whitespace(C.remove_blank_lines(x)).alias("code"))
+
+
+@query("SELECT page_id, " + rx_(rx_(rx_("html", f"//{_LINE}*"), "/\\*(?s:.*?)\\*/"), f"(?m)[{_NOSP}]+$") + " AS code FROM pages")
+def compress_comments(spark, d):
+    return table(spark, d, "pages").select("page_id", C.remove_comments(F.col("html")).alias("code"))
+
+
+_MIN = rx_("html", f"[{SP}]+", " ")
+for _chars in ("(),:;{}", "!%&*+\\-/<=>?^|~"):
+    _MIN = rx_(_MIN, f"[{SP}]*([{_chars}])[{SP}]*", "\\1")
+_MIN = rx_(rx_(_MIN, ";\\}", "}"), ";$")
+
+
+@query(f"SELECT page_id, {_MIN} AS code FROM pages")
+def compress_minify(spark, d):
+    return table(spark, d, "pages").select("page_id", C.minify(F.col("html")).alias("code"))
+
+
+_CODE = "'console.log(1); x = ' || page_id || '; debugger; ' || url || chr(10) || 'import pdb; pdb.set_trace()'"
+
+
+@query("SELECT page_id, " + rx_(rx_(rx_(_CODE, f"console\\.[A-Za-z0-9_]+\\([^)]*\\);?[{SP}]*"), f"debugger;?[{SP}]*"), f"import[{SP}]+pdb;?[{SP}]*pdb\\.set_trace\\(\\)") + " AS code FROM pages")
+def remove_debug(spark, d):
+    x = F.concat(F.lit("console.log(1); x = "), F.col("page_id").cast("string"), F.lit("; debugger; "), F.col("url"), F.lit("\nimport pdb; pdb.set_trace()"))
+    return table(spark, d, "pages").select("page_id", C.remove_debug(C.remove_console(x)).alias("code"))
+
+
+@query()
+def compress_full(spark, d):
+    return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in C.compress_full(F.col("html")).items() if n != "removed"])
+
+
+@query(
+    f"""WITH c AS (SELECT page_id, len(regexp_extract_all(html, '//{_LINE}*')) + len(regexp_extract_all(html, '/\\*(?s:.*?)\\*/')) AS comment, len(list_filter(string_split(html, chr(10)), lambda r: NOT regexp_matches(r, '[^{SP}]'))) AS blank FROM pages),
+e AS (SELECT page_id, 'comment' AS type, comment AS n FROM c UNION ALL SELECT page_id, 'blankLine', blank FROM c) SELECT page_id, type, n::BIGINT AS count, (3 * n)::BIGINT AS tokens_saved FROM e WHERE n > 0"""
+)
+def estimate_compression(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(C.estimate(F.col("html"))).alias("e")).select("page_id", "e.*")
+
+
+# --- symbols
+
+PROMPT = "forest metallic green and the small brushed parts"
+_PW = T.split_words(PROMPT)
+
+
+@query("SELECT p_partkey, p_name, relevance FROM (SELECT p_partkey, p_name, (" + " + ".join(f"CASE WHEN contains(lower(p_name), '{w}') OR contains('{w}', lower(p_name)) THEN 1 ELSE 0 END" for w in _PW) + ")::INT AS relevance FROM part) WHERE relevance > 0")
+def find_relevant_by_name(spark, d):
+    return parse.relevance_order(table(spark, d, "part"), PROMPT, "p_name", "p_partkey").select("p_partkey", "p_name", "relevance")
+
+
+def code_files(spark, d) -> DataFrame:
+    """A small script for each document."""
+    i = F.col("doc_id").cast("string")
+    code = F.concat(
+        F.lit("import d"), i, F.lit(", { a as b, c } from './m"), i, F.lit("';\nimport 'side"), i, F.lit("';\nexport interface I"), i, F.lit(" { x: number }\nexport class C"), i, F.lit(" extends B"), i, F.lit(" implements I"), i,
+        F.lit(" {\n  run(a: string): void { this.x = 1; }\n}\nexport async function f"), i, F.lit("(a: number): number {\n  return a + "), i, F.lit(";\n}\nexport type T"), i, F.lit(" = string;\nexport default f"), i, F.lit(";\nexport { g } from './g"), i, F.lit("';\n"),
+    )
+    return table(spark, d, D).select("doc_id", F.col("doc_id").alias("file_id"), code.alias("content"), F.lit("typescript").alias("language"))
+
+
+@query("""SELECT doc_id AS file_id, 'm' AS k, './m' || doc_id AS path, 'a,c' AS named, false AS side_effect FROM documents UNION ALL SELECT doc_id, 's', 'side' || doc_id, '', true FROM documents UNION ALL SELECT doc_id, 'm', './g' || doc_id, 'g', false FROM documents""")
+def extract_imports(spark, d):
+    i = parse.imports_of(code_files(spark, d))
+    return i.select("file_id", F.when(F.col("side_effect"), "s").otherwise("m").alias("k"), "path", F.array_join("named", ",").alias("named"), "side_effect")
+
+
+@query(
+    """SELECT doc_id AS file_id, o::INT AS ordinal, p || CASE WHEN o < 5 THEN doc_id::VARCHAR ELSE '' END AS name, o = 4 AS is_default, o = 5 AS is_reexport, CASE WHEN o = 5 THEN './g' || doc_id END AS source
+FROM documents, (VALUES (0, 'I'), (1, 'C'), (2, 'T'), (4, 'f'), (5, '')) v(o, p)"""
+)
+def extract_exports(spark, d):
+    e = parse.exports_of(code_files(spark, d))
+    order = F.when(F.col("is_default"), 4).when(F.col("is_reexport"), 5).otherwise(F.col("ordinal"))
+    return e.select("file_id", order.cast("int").alias("ordinal"), F.array_join("names", ",").alias("name"), "is_default", "is_reexport", "source")
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS file_id, p || CASE WHEN g THEN doc_id::VARCHAR ELSE '' END AS name, t AS type, s::INT AS start_line, e::INT AS end_line, x AS is_exported, y AS is_async
+FROM documents, (VALUES ('C', true, 'class', 4, 6, true, false), ('I', true, 'interface', 3, 3, true, false), ('f', true, 'function', 7, 9, true, true), ('T', true, 'typeAlias', 10, 12, true, false), ('run', false, 'method', 4, 5, false, false)) v(p, g, t, s, e, x, y)"""
+)
+def parse_symbols(spark, d):
+    return parse.parse_symbols(code_files(spark, d)).select("file_id", "name", "type", "start_line", "end_line", "is_exported", "is_async")
+
+
+def doc_symbols(spark, d) -> DataFrame:
+    """Documents as symbols, a file for each source."""
+    labels = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    df = table(spark, d, D).join(labels, "doc_id", "left")
+    return df.select(
+        F.col("source").alias("file_id"), F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), F.substring_index("text", " ", 1).alias("name"), F.lit("function").alias("type"), F.col("text").alias("full_source"),
+        F.substring("text", 1, 80).alias("signature"), F.lit("public").alias("visibility"), F.coalesce("good", F.lit(False)).alias("is_exported"), F.lit(0).alias("call_count"), F.lit(0).alias("dependents"), F.lit(1).alias("complexity"),
+    )
+
+
+_SYM = "SELECT source AS file_id, doc_id AS ordinal, string_split(text, ' ')[1] AS name, text, left(text, 80) AS signature, coalesce(quality = 1, false) AS is_exported FROM documents LEFT JOIN labels USING (doc_id)"
+TASK = "the thing and house of data"
+_TW = T.split_words(TASK)
+_REL = " + ".join(f"CASE WHEN contains(lower(name), '{w}') THEN 0.5::DOUBLE WHEN contains(lower(text), '{w}') THEN 0.1::DOUBLE ELSE 0::DOUBLE END" for w in _TW)
+_RANK = f"""SELECT *, f_visibility + f_callFrequency + f_centrality + f_typeImportance + f_complexity + f_taskRelevance AS rank FROM (SELECT *, CASE WHEN is_exported THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * 0.15::DOUBLE * 100 AS f_visibility, 0::DOUBLE AS f_callFrequency, 0::DOUBLE AS f_centrality,
+ 0.7::DOUBLE * 0.2::DOUBLE * 100 AS f_typeImportance, 0.05::DOUBLE * 0.05::DOUBLE * 100 AS f_complexity, (0::DOUBLE + {_REL}) * 0.3::DOUBLE * 100 AS f_taskRelevance FROM ({_SYM}))"""
+
+
+@query(f"SELECT ordinal, name, round(rank, 6) AS rank, rank / 100 >= 0.4::DOUBLE AS keep_body FROM ({_RANK})")
+def rank_symbols(spark, d):
+    return ranking.rank(doc_symbols(spark, d), 0.4, TASK).select("ordinal", "name", F.round("rank", 6).alias("rank"), "keep_body")
+
+
+_FILL = f"""SELECT file_id, list({{'r': -round(rank, 6), 'o': ordinal, 'k': rank / 100 >= 0.4::DOUBLE, 'b': greatest(5, {ceil_(u_('text'))}), 's': greatest(2, {ceil_(u_('signature'))})}} ORDER BY round(rank, 6) DESC, ordinal) AS l FROM ({_RANK}) GROUP BY file_id"""
+
+
+@query(
+    f"""WITH f AS (SELECT file_id, list_reduce(l, lambda a, e: CASE
+ WHEN a.rem <= 0 OR (CASE WHEN e.k THEN e.b ELSE e.s END > a.rem AND e.s > a.rem) THEN {{'rem': a.rem, 'out': list_append(a.out, {{'o': e.o, 'f': 'excluded'}})}}
+ WHEN e.k AND e.b <= a.rem THEN {{'rem': a.rem - e.b, 'out': list_append(a.out, {{'o': e.o, 'f': 'body'}})}}
+ ELSE {{'rem': a.rem - e.s, 'out': list_append(a.out, {{'o': e.o, 'f': 'signature'}})}} END, {{'rem': 3000::BIGINT, 'out': []::STRUCT(o BIGINT, f VARCHAR)[]}}) AS a FROM ({_FILL}))
+SELECT file_id, a.rem AS left_over, u.o AS ordinal, u.f AS form FROM (SELECT file_id, a, unnest(a.out) AS u FROM f)"""
+)
+def greedy_fill(spark, d):
+    ranked = ranking.rank(doc_symbols(spark, d), 0.4, TASK).withColumn("rank", F.round("rank", 6))
+    return ranking.fill(ranked, 3000).select("file_id", "left_over", "ordinal", "form")
+
+
+_SCORE = " + ".join(f"CASE WHEN contains(lower(name), '{w}') THEN 10 ELSE 0 END + CASE WHEN lower(name) = '{w}' THEN 5 ELSE 0 END + CASE WHEN contains(lower(file_id), '{w}') THEN 3 ELSE 0 END" for w in _TW)
+
+
+@query(
+    f"""WITH s AS (SELECT *, ({_SCORE} + CASE WHEN is_exported THEN 2 ELSE 0 END)::DOUBLE AS score FROM ({_SYM})),
+l AS (SELECT file_id, list({{'o': ordinal, 'c': {ceil_(u_('text'))}}} ORDER BY score DESC, ordinal) AS l FROM s WHERE score > 0 GROUP BY file_id),
+f AS (SELECT file_id, list_reduce(l, lambda a, e: CASE WHEN NOT a.stop AND e.c <= a.rem THEN {{'rem': a.rem - e.c, 'stop': a.rem - e.c < 50, 'out': list_append(a.out, e.o)}} ELSE {{'rem': a.rem, 'stop': a.stop OR a.rem < 50, 'out': a.out}} END, {{'rem': 2000::BIGINT, 'stop': false, 'out': []::BIGINT[]}}) AS a FROM l)
+SELECT file_id, unnest(a.out) AS ordinal FROM f"""
+)
+def context_fill_early_stop(spark, d):
+    from ..operators.codebase import prompt_score
+
+    s = doc_symbols(spark, d).withColumn("score", prompt_score(F.col("name"), F.col("file_id"), F.col("is_exported"), F.lit(0.0), TASK)).filter("score > 0")
+    return ranking.context_fill(s, 2000).select("file_id", "ordinal")
+
+
+# --- strategies
+
+
+def grid(spark) -> DataFrame:
+    v = [[(k,) for k in x] for x in (P.STRATEGIES, P.MODELS, P.TASKS)]
+    s, m, t = (spark.createDataFrame(x, f"{n} string") for x, n in zip(v, ("strategy", "model", "task")))
+    return s.crossJoin(m).crossJoin(t)
+
+
+def _values(d: dict) -> str:
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    return ", ".join("(" + ", ".join(map(lit, (k, *v))) + ")" for k, v in d.items())
+
+
+_LISTS = {k: ", ".join(f"'{x}'" for x in v) for k, v in (("large", P.LARGE), ("tight", P.TIGHT), ("careful", P.CAREFUL), ("bold", P.BOLD))}
+
+
+@query(
+    f"""WITH s(strategy, body, comment, imports, depth, minify) AS (VALUES {_values(P.STRATEGIES)}), t(task, bf, cf, if_, mf) AS (VALUES {_values(P.TASKS)}), m(model, w, r, e, p, rs) AS (VALUES {_values(P.MODELS)}),
+z AS (SELECT sum(n_chars)::BIGINT AS size FROM documents GROUP BY source), b(budget) AS (VALUES (8000), (100000)),
+g AS (SELECT s.strategy, model, task, size, budget, bf, cf, if_, mf, CASE WHEN model IN ({_LISTS['large']}) THEN 2 WHEN model IN ({_LISTS['tight']}) THEN -1 ELSE 0 END + CASE WHEN task IN ({_LISTS['careful']}) THEN 1 WHEN task IN ({_LISTS['bold']}) THEN -1 ELSE 0 END
+ + CASE WHEN ceil(size / 3.5::DOUBLE) / budget > 3 THEN -2 WHEN ceil(size / 3.5::DOUBLE) / budget > 1.5 THEN -1 WHEN ceil(size / 3.5::DOUBLE) / budget < 0.5 THEN 1 ELSE 0 END AS score FROM s, m, t, z, b),
+c AS (SELECT *, CASE WHEN strategy <> 'adaptive' THEN strategy WHEN score >= 2 THEN 'preservative' WHEN score >= 0 THEN 'balanced' WHEN score >= -1 THEN 'semantic' ELSE 'aggressive' END AS chosen FROM g)
+SELECT c.strategy, model, task, size, budget, chosen, round(1 - body * bf, 6) AS body_threshold, mf = 1 AND minify AS minify, depth, comment * cf > 0.3::DOUBLE AS keep_comments FROM c JOIN s ON c.chosen = s.strategy"""
+)
+def strategy_select_grid(spark, d):
+    sizes = table(spark, d, D).groupBy("source").agg(F.sum("n_chars").alias("size")).select("size")
+    g = grid(spark).crossJoin(sizes).crossJoin(spark.createDataFrame([(8000,), (100000,)], "budget int"))
+    return P.select_strategy(g).select("strategy", "model", "task", "size", "budget", "chosen", F.round("body_threshold", 6).alias("body_threshold"), "minify", "depth", "keep_comments")
+
+
+@query(
+    f"""WITH s(strategy, body, comment, imports, depth, minify) AS (VALUES {_values(P.STRATEGIES)}), m(model, w, r, e, penalty, rs) AS (VALUES {_values(P.MODELS)}), x AS (SELECT doc_id, n_chars FROM documents),
+a AS (SELECT doc_id, strategy, model, n_chars, 1 - (penalty - 1) * 0.1::DOUBLE AS f, 0.05::DOUBLE * comment AS doc FROM s, m, x)
+SELECT doc_id, strategy, model, floor(n_chars * (0.25::DOUBLE * f))::BIGINT AS critical, floor(n_chars * (0.35::DOUBLE * f))::BIGINT AS important, floor(n_chars * (1::DOUBLE - 0.25::DOUBLE * f - 0.35::DOUBLE * f - 0.15::DOUBLE - doc))::BIGINT AS relevant, floor(n_chars * 0.15::DOUBLE)::BIGINT AS dependency, floor(n_chars * doc)::BIGINT AS documentation FROM a"""
+)
+def allocate_budget_grid(spark, d):
+    s, m = P.table(spark, "strategies").select("strategy", "comment"), P.table(spark, "models").select("model", "penalty")
+    g = table(spark, d, D).select("doc_id", "n_chars").crossJoin(F.broadcast(s)).crossJoin(F.broadcast(m))
+    return g.select("doc_id", "strategy", "model", *[c.alias(k) for k, c in P.allocate(F.col("n_chars"), F.col("comment"), F.col("penalty")).items()])
+
+
+# --- relevance
+
+_STOP = ", ".join(f"'{w}'" for w in semantic.STOP_WORDS)
+_TERMS = f"WITH t AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+'), lambda w: w <> '' AND w NOT IN ({_STOP}))) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL)"
+_IDF = ", n AS (SELECT count(*)::DOUBLE AS n FROM documents), i AS (SELECT term, count(*) AS df, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term, n)"
+
+
+def doc_terms(spark, d) -> DataFrame:
+    return semantic.term_counts(table(spark, d, D).select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(_TERMS + " SELECT id, term, tf FROM tf")
+def tfidf_postings(spark, d):
+    return doc_terms(spark, d)
+
+
+@query(_TERMS + _IDF + " SELECT term, df, round(idf, 6) AS idf FROM i")
+def tfidf_idf(spark, d):
+    return semantic.idf(doc_terms(spark, d), table(spark, d, D).count()).withColumn("idf", F.round("idf", 6))
+
+
+ASK = "the thing with onthe thin data tion"
+
+
+@query(
+    _TERMS + _IDF + f""", w AS (SELECT id, term, tf * idf AS w FROM tf JOIN i USING (term)), q AS (SELECT term, count(*) * any_value(idf) AS q FROM (SELECT unnest(list_filter(regexp_split_to_array(lower('{ASK}'), '[^A-Za-z0-9_]+'), lambda w: w <> '' AND w NOT IN ({_STOP}))) AS term) JOIN i USING (term) GROUP BY term),
+c AS (SELECT id, sum(w * q) AS dot FROM w JOIN q USING (term) GROUP BY id), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY id) SELECT d.doc_id AS id, round(coalesce(dot / (l * (SELECT sqrt(sum(q * q)) FROM q)), 0), 6) AS score FROM documents d LEFT JOIN c ON d.doc_id = c.id LEFT JOIN l ON l.id = d.doc_id"""
+)
+def tfidf_score_prompt(spark, d):
+    docs = table(spark, d, D).select(F.col("doc_id").alias("id"))
+    tf = doc_terms(spark, d)
+    idfs = semantic.idf(tf, docs.count())
+    return semantic.scores(docs, semantic.weights(tf, idfs), idfs, ASK).select("id", F.round("score", 6).alias("score"))
+
+
+_BT = _TERMS.replace("doc_id AS id", "item_id AS id").replace("documents", "benchmark") + _IDF.replace("documents", "benchmark")
+
+
+@query(
+    _BT + """, w AS (SELECT id, term, tf * idf AS w FROM tf JOIN i USING (term)), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY id), p AS (SELECT a.id, b.id AS other, sum(a.w * b.w) / any_value(x.l * y.l) AS score FROM w a JOIN w b USING (term) JOIN l x ON x.id = a.id JOIN l y ON y.id = b.id WHERE a.id <> b.id GROUP BY a.id, b.id)
+SELECT id, other, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other)::INT AS rank FROM p) WHERE rank <= 5 AND score > 0"""
+)
+def tfidf_related_topn(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    tf = semantic.term_counts(items)
+    return semantic.related(semantic.weights(tf, semantic.idf(tf, items.count()))).select("id", "other", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    """WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
+SELECT id, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INT AS rank FROM p) WHERE rank <= 3"""
+)
+def cosine_embeddings_topn(spark, d):
+    e = table(spark, d, "embeddings")
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    a = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("u"), size.alias("nu"))
+    b = a.toDF("other", "v", "nv")
+    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    p = a.join(b, F.col("id") != F.col("other")).select("id", "other", F.round(dot / (F.col("nu") * F.col("nv")), 6).alias("score"))
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return p.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+
+
+# --- graphs
+
+
+def nation_symbols(spark, d) -> DataFrame:
+    """Nations as symbols whose sources mention other nations and regions."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    src = F.concat(F.lit("class "), F.col("n_name"), F.lit(" extends "), F.col("r_name"), F.lit(" { calls NATION_"), F.expr("cast((n_nationkey * 7 + 3) % 25 as string)"), F.lit(" }"))
+    a = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), src.alias("full_source"), F.col("n_nationkey").cast("long").alias("ordinal"))
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("class "), F.col("r_name"), F.lit(" {}")).alias("full_source"), (F.col("r_regionkey") + 100).cast("long").alias("ordinal"))
+    return a.unionByName(r)
+
+
+_NS = "WITH s AS (SELECT 'n' || n_nationkey AS id, n_name AS name, 'class ' || n_name || ' extends ' || r_name || ' { calls NATION_' || ((n_nationkey * 7 + 3) % 25) || ' }' AS src FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, 'class ' || r_name || ' {}' FROM region)"
+
+
+@query(_NS + " SELECT DISTINCT a.id AS src, b.id AS dst, 'call' AS type FROM s a JOIN s b ON a.name <> b.name AND contains(lower(a.src), lower(b.name)) WHERE a.id <> b.id")
+def call_edges_contains(spark, d):
+    return G.unique_edges(G.call_edges(nation_symbols(spark, d))).select("src", "dst", "type")
+
+
+@query(_NS + " SELECT a.id AS src, b.id AS dst, 2.0::DOUBLE AS weight FROM s a JOIN s b ON b.name = regexp_extract(a.src, 'extends\\s+([A-Za-z0-9_]+)', 1) WHERE a.id <> b.id")
+def inheritance_edges(spark, d):
+    return G.unique_edges(G.inheritance_edges(nation_symbols(spark, d))).select("src", "dst", "weight")
+
+
+def trade(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Nations, and an edge from a customers' nation to a suppliers' nation that sells it more lines than the mean pair."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
+    pairs = li.join(o, F.expr("l_orderkey = o_orderkey")).join(c, F.expr("o_custkey = c_custkey")).join(s, F.expr("l_suppkey = s_suppkey")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("src != dst")
+    mean = pairs.agg(F.avg("n").alias("mean"))
+    edges = pairs.crossJoin(F.broadcast(mean)).filter("n > mean * 1.5").select("src", "dst", F.lit("call").alias("type"), F.lit(1.0).alias("weight"), (F.col("src") * 100 + F.col("dst")).alias("ordinal"))
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ordinal"), (F.col("n_regionkey") == 0).alias("is_exported"))
+    return nodes, cut(edges)
+
+
+_TR = """WITH RECURSIVE pairs AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
+e AS MATERIALIZED (SELECT src, dst FROM pairs WHERE n > (SELECT avg(n) FROM pairs) * 1.5), v AS (SELECT n_nationkey AS id FROM nation)"""
+
+
+def _rounds(k: int) -> str:
+    d, n = G.DAMPING, "(SELECT count(*) FROM v)"
+    out = [f"o AS (SELECT src, count(*) AS outs FROM e GROUP BY src), p0 AS (SELECT id, 1.0::DOUBLE / {n} AS pr FROM v)"]
+    for i in range(1, k + 1):
+        out.append(
+            f"p{i} AS MATERIALIZED (SELECT v.id, {1 - d:.2f}::DOUBLE / {n} + {d}::DOUBLE * (coalesce(any_value(g.got), 0) + (SELECT coalesce(sum(pr), 0) FROM p{i - 1} WHERE id NOT IN (SELECT src FROM e)) / {n}) AS pr FROM v LEFT JOIN (SELECT dst, sum(pr / outs) AS got FROM e JOIN o USING (src) JOIN p{i - 1} ON id = src GROUP BY dst) g ON g.dst = v.id GROUP BY v.id)"
+        )
+    return ", ".join(out)
+
+
+@query(f"{_TR}, {_rounds(G.ROUNDS)} SELECT id, round(pr, 6) AS page_rank FROM p{G.ROUNDS}")
+def pagerank_trade(spark, d):
+    nodes, edges = trade(spark, d)
+    return G.page_rank(nodes, edges).select("id", F.round("page_rank", 6).alias("page_rank"))
+
+
+_REACH = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, k) AS (SELECT id, id FROM v UNION SELECT b.dst, r.k FROM r JOIN b ON b.src = r.id)"
+
+
+@query(f"{_TR}, {_REACH}, m AS (SELECT id, min(k) AS label FROM r GROUP BY id) SELECT id, (dense_rank() OVER (ORDER BY label) - 1)::BIGINT AS cluster FROM m")
+def connected_components(spark, d):
+    nodes, edges = trade(spark, d)
+    return G.components(nodes, edges)
+
+
+@query(f"{_TR}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, k) AS (SELECT n_nationkey, 0 FROM nation WHERE n_name = 'NATION_0' UNION SELECT b.dst, r.k + 1 FROM r JOIN b ON b.src = r.id WHERE r.k < 25) SELECT v.id, coalesce(min(k), 0)::BIGINT AS depth FROM v LEFT JOIN r ON r.id = v.id GROUP BY v.id")
+def bfs_depth(spark, d):
+    nodes, edges = trade(spark, d)
+    return G.depths(nodes, edges, nodes.filter("name = 'NATION_0'"))
+
+
+@query()
+def shortest_path(spark, d):
+    nodes, edges = trade(spark, d)
+    return G.shortest_paths(nodes, edges, "NATION_0", "NATION_9")
+
+
+@query()
+def hot_path(spark, d):
+    nodes, edges = trade(spark, d)
+    names = G.hot_path(nodes.join(G.page_rank(nodes, edges), "id"), edges)
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "step int, name string")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def orphans(spark, d):
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return G.orphans(nodes, table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey")).alias("dst")))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def entry_candidates(spark, d):
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("is_exported"))
+    return G.entry_candidates(nodes, table(spark, d, "orders").select(F.col("o_custkey").alias("dst"))).select("id")
+
+
+@query(f"{_TR}, {_REACH}, m AS (SELECT id, min(k) AS label FROM r GROUP BY id) SELECT (SELECT count(*) FROM v) AS total_nodes, (SELECT count(DISTINCT label) FROM m) AS clusters, count(*) AS total_edges, count(*) AS call_edges, 0::BIGINT AS inheritance_edges FROM e")
+def graph_stats(spark, d):
+    nodes, edges = trade(spark, d)
+    n = nodes.join(G.components(nodes, edges), "id").withColumn("page_rank", F.lit(0.0))
+    return G.stats(n, edges).select("total_nodes", "clusters", "total_edges", "call_edges", "inheritance_edges")
+
+
+# --- differences, chunks, budgets
+
+
+def versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = doc_symbols(spark, d).select("file_id", "ordinal", F.concat("name", F.lit("#"), F.col("ordinal").cast("string")).alias("name"), "full_source")
+    return s, s.withColumn("full_source", F.replace("full_source", F.lit(" and "), F.lit(" & ")))
+
+
+@query("SELECT doc_id AS ordinal FROM documents WHERE contains(text, ' and ')")
+def diff_changed(spark, d):
+    return serialize.changed_symbols(*versions(spark, d)).select("ordinal")
+
+
+@query("SELECT doc_id AS ordinal FROM documents WHERE NOT contains(text, ' and ')")
+def diff_excluded(spark, d):
+    old, new = versions(spark, d)
+    return serialize.unchanged_symbols(old, serialize.changed_symbols(old, new)).select("ordinal")
+
+
+def doc_chunks(spark, d) -> DataFrame:
+    s = doc_symbols(spark, d)
+    form = F.when(F.col("is_exported"), "body").otherwise("signature")
+    return serialize.chunks(s.withColumns({"form": form, "position": F.col("ordinal")}))
+
+
+_CH = f"""WITH s AS ({_SYM}), c AS (SELECT file_id, ordinal, name, CASE WHEN is_exported THEN text ELSE signature END AS content, is_exported FROM s), k AS (SELECT *, len(string_split(content, chr(10))) + 1 AS used FROM c WHERE content <> ''),
+ch AS (SELECT *, (2 + coalesce(sum(used) OVER (PARTITION BY file_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_line, greatest(1, {ceil_(u_('content'))}) AS token_count FROM k)"""
+
+
+@query(_CH + " SELECT file_id, ordinal AS position, start_line, (start_line + used - 1)::BIGINT AS end_line, token_count, CASE WHEN is_exported THEN 10 ELSE 5 END::INT AS priority FROM ch")
+def chunk_line_ranges(spark, d):
+    return doc_chunks(spark, d).select("file_id", "position", "start_line", "end_line", "token_count", "priority")
+
+
+@query(_CH + """, x AS (SELECT file_id, string_agg(content || chr(10), chr(10) ORDER BY ordinal) AS b FROM k GROUP BY file_id) SELECT file_id, regexp_replace('// Optimized for general task · balanced strategy' || chr(10) || b, '^\\s+|\\s+$', '', 'g') AS code FROM x""")
+def serialize_context(spark, d):
+    files = table(spark, d, D).select(F.col("source").alias("file_id")).distinct().select("file_id", F.lit("general").alias("task"), F.lit("balanced").alias("strategy"))
+    return serialize.code_of(doc_chunks(spark, d), files)
+
+
+@query(_CH + " SELECT file_id, sum(token_count)::BIGINT AS symbols, 0::BIGINT AS imports, 0::BIGINT AS header, 0::BIGINT AS dependencies, 0::BIGINT AS overhead FROM ch GROUP BY file_id")
+def budget_breakdown(spark, d):
+    return serialize.budget_breakdown(doc_chunks(spark, d))
+
+
+@query(_CH + f""" SELECT file_id, ordinal AS position, name, token_count AS tokens, {js_("token_count / (sum(token_count) OVER (PARTITION BY file_id))::DOUBLE * 1000")} / 10 AS pct, token_count > 2 * CASE WHEN length(name) = 0 THEN 20 ELSE {ceil_(u_('name'))} END AS has_body FROM ch""")
+def per_symbol_pct(spark, d):
+    return serialize.per_symbol(doc_chunks(spark, d)).drop("type")
+
+
+@query()
+def budget_report(spark, d):
+    c = doc_chunks(spark, d)
+    totals = c.groupBy("file_id").agg(F.sum("token_count").alias("total")).withColumn("reduction", F.lit(50))
+    return serialize.budget_text(serialize.budget_breakdown(c), serialize.per_symbol(c), totals)
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, ({tok_('text')})::BIGINT AS o, {u_('text')} AS u, len(string_split(text, chr(10))) AS n FROM documents), b AS (SELECT *, ceil(o * 0.03::DOUBLE)::BIGINT AS h, ceil(o * 0.05::DOUBLE)::BIGINT AS i FROM a),
+c AS (SELECT *, h + i + (n - ceil(n * 0.2::DOUBLE)::BIGINT) * 20 + ceil((o - h - i) * 0.2::DOUBLE)::BIGINT AS l FROM b)
+SELECT doc_id, o AS original_tokens, {js_('u / o::DOUBLE * 100')} / 100 AS chars_per_token, greatest(1, l)::BIGINT AS estimated_tokens, {js_('(1.0::DOUBLE - l / o::DOUBLE) * 1000')} / 10 AS savings_percent FROM c"""
+)
+def estimate_savings(spark, d):
+    t = table(spark, d, D).select("doc_id", T.tokens(F.col("text")).alias("o"), T.units(F.col("text")).alias("u"), F.size(F.split("text", "\n")).alias("n"))
+    return t.select("doc_id", *[c.alias(k) for k, c in serialize.savings(F.col("o"), F.col("n"), F.col("u")).items()])
+
+
+@query(_CH + f""", l AS (SELECT file_id, name, arg_max(text, ordinal) AS text FROM s GROUP BY file_id, name) SELECT ch.file_id, ordinal AS position, 'chunk:' || start_line || '-' || (start_line + used - 1) AS chunk_id, token_count, ({ceil_(u_('l.text'))}) AS original_tokens FROM ch JOIN l ON l.file_id = ch.file_id AND l.name = ch.name""")
+def restore_lookup(spark, d):
+    return serialize.restore_map(doc_chunks(spark, d), doc_symbols(spark, d), plain_names=True).select("file_id", "position", "chunk_id", "token_count", "original_tokens")
+
+
+@query()
+def mcp_count_tokens_json(spark, d):
+    return table(spark, d, D).select("doc_id", F.to_json(F.struct(*[c.alias(n) for n, c in T.breakdown(F.col("text")).items()])).alias("json"))
+
+
+# --- whole pipelines
+
+
+@query()
+def optimize_code(spark, d):
+    from .optimize import Options, optimize
+
+    return optimize(code_files(spark, d), Options(model="gpt-4", strategy="balanced", target_tokens=60, prompt="f class run"))
+
+
+@query()
+def optimize_code_sync(spark, d):
+    from .optimize import Options, optimize_sync
+
+    return optimize_sync(code_files(spark, d), Options(model="local", task="bug-fix", strategy="aggressive", target_tokens=40))
+
+
+@query()
+def extract_code_diff(spark, d):
+    from .optimize import extract_diff
+
+    f = code_files(spark, d)
+    return extract_diff(f.select("file_id", F.col("content").alias("original"), F.replace("content", F.lit("return a"), F.lit("return b")).alias("modified"), "language"))
