@@ -40,7 +40,7 @@ from .common import NO_ID, cut, did, free_name, keyed, maybe_broadcast, text_has
 
 MIN_WORDS, KEY_WORDS = 50, 25
 #: Suffixes a run holds at most, and suffixes a bucket should hold.
-RUN, BUCKET = 100_000, 150_000
+RUN, BUCKET = 25_000, 40_000
 SPAN = "did long, th long, first_did long, start int, stop int"
 
 
