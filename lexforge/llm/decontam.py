@@ -6,8 +6,8 @@ each term has its largest impact (WAND) and its largest impact in each block (bl
 
 Query: passages are windows of 2 * stride words, every stride words, where stride is STRIDE or the longest item's length, so each
 item that occurs lies whole within a passage. Whole batches of passages are tested at once against the sums of largest
-impacts; those that may reach 1 are tested block by block; for what remains, document-at-a-time WAND with block-max skips
-finds exactly the items that score 1 or more.
+impacts; those that may reach 1 are tested block by block; within the blocks that remain, document-at-a-time WAND with the block's
+impacts as bounds finds exactly the items that score 1 or more.
 
 Verification: the item is split into question and answer, after its last question mark (or "answer:") or, without one, after three quarters of
 its words. At least OVERLAP of each one's runs of GRAM words (fewer, if it is shorter) must occur in the passage.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import free_name
 
-STRIDE, TAU, OVERLAP, GRAM, BLOCKS = 128, 0.5, 0.6, 5, 64
+STRIDE, TAU, OVERLAP, GRAM, BLOCKS = 128, 0.5, 0.6, 5, 128
 K1, B = 1.2, 0.75
 SHARD_CHARS = 8 << 20
 
@@ -92,6 +92,13 @@ class Index:
             for x, s in p:
                 b = x // self.per_block
                 self.top[t, b] = max(self.top[t, b], np.float32(s) * np.float32(1.000001))
+        self.in_block: list[dict[int, tuple[float, list]]] = []
+        for t, p in enumerate(self.post):
+            own: dict[int, tuple[float, list]] = {}
+            for x, s in p:
+                b = x // self.per_block
+                own.setdefault(b, (float(self.top[t, b]), []))[1].append((x, s))
+            self.in_block.append(own)
         self.most = self.top.max(axis=1) if blocks else np.zeros(0, np.float32)
         # chained hash table: slot -> term, term -> next term of the slot
         self.bits = max(10, int(len(vocab) * 8).bit_length())
@@ -114,52 +121,47 @@ class Index:
         return t
 
     def search(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
-        """All items of those blocks with a score of at least 1: WAND, with skips over blocks."""
-        per, end = self.per_block, len(self.ids)
-        lists = [self.post[t] for t in terms]
+        """All items of those blocks with a score of at least 1."""
+        found = []
+        for b in sorted(blocks):
+            own = [p for t in terms if (p := self.in_block[t].get(b)) is not None]
+            if sum(ub for ub, _ in own) >= 1:
+                found += self._wand([ub for ub, _ in own], [p for _, p in own])
+        return found
+
+    @staticmethod
+    def _wand(most: list[float], lists: list[list[tuple[int, float]]]) -> list[tuple[int, float]]:
+        """Document-at-a-time WAND over one block's postings, with the terms' largest impacts in the block as bounds."""
         at = [0] * len(lists)
-        cur = [p[0][0] for p in lists]
-        live = list(range(len(lists)))
+        live = sorted(range(len(lists)), key=lambda k: lists[k][0][0])
         found = []
-
-        def move(k: int, to: int) -> None:
-            p, i = lists[k], at[k]
-            while i < len(p) and p[i][0] < to:
-                i += 1
-            at[k] = i
-            cur[k] = p[i][0] if i < len(p) else end
-
         while True:
-            live = sorted((k for k in live if cur[k] < end), key=cur.__getitem__)
             bound, pivot = 0.0, -1
             for j, k in enumerate(live):
-                bound += self.most[terms[k]]
+                bound += most[k]
                 if bound >= 1:
                     pivot = j
                     break
             if pivot < 0:
                 return found
-            x = cur[live[pivot]]
-            while pivot + 1 < len(live) and cur[live[pivot + 1]] == x:
-                pivot += 1
-            block = x // per
-            if block not in blocks or sum(float(self.top[terms[k], block]) for k in live[: pivot + 1]) < 1:
-                nxt = min(end, (block + 1) * per)
-                if pivot + 1 < len(live):
-                    nxt = min(nxt, cur[live[pivot + 1]])
-                nxt = max(nxt, x + 1)
-                for k in live[: pivot + 1]:
-                    move(k, nxt)
-            elif cur[live[0]] == x:
-                score = sum(lists[k][at[k]][1] for k in live[: pivot + 1])
+            x = lists[live[pivot]][at[live[pivot]]][0]
+            if lists[live[0]][at[live[0]]][0] == x:
+                score = 0.0
+                for k in live:
+                    item, s = lists[k][at[k]]
+                    if item != x:
+                        break
+                    score += s
+                    at[k] += 1
                 if score >= 1:
                     found.append((x, score))
-                for k in live[: pivot + 1]:
-                    move(k, x + 1)
             else:
                 for k in live[:pivot]:
-                    if cur[k] < x:
-                        move(k, x)
+                    p, i = lists[k], at[k]
+                    while i < len(p) and p[i][0] < x:
+                        i += 1
+                    at[k] = i
+            live = sorted((k for k in live if at[k] < len(lists[k])), key=lambda k: lists[k][at[k]][0])
 
     def matches(self, w: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float]]:
         """(document, item, score, overlap of question and answer): for each pair the verified passage with the largest score."""
