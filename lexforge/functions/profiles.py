@@ -65,7 +65,7 @@ def table(spark: SparkSession, which: str) -> DataFrame:
         "tasks": (TASKS, "task string, body_factor double, comment_factor double, imports_factor double, minify_flag int"),
         "models": (MODELS, "model string, max_tokens int, recommended int, encoding string, penalty int, recommended_strategy string"),
     }[which]
-    return spark.createDataFrame([(k, *v) for k, v in rows.items()], schema)
+    return spark.createDataFrame([(k, *v) for k, v in rows.items()], schema).coalesce(1)
 
 
 def allocate(total: Column, comment: Column, penalty: Column | None = None) -> dict[str, Column]:

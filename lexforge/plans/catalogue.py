@@ -314,9 +314,8 @@ def context_fill_early_stop(spark, d):
 
 
 def grid(spark) -> DataFrame:
-    v = [[(k,) for k in x] for x in (P.STRATEGIES, P.MODELS, P.TASKS)]
-    s, m, t = (spark.createDataFrame(x, f"{n} string") for x, n in zip(v, ("strategy", "model", "task")))
-    return s.crossJoin(m).crossJoin(t)
+    rows = [(s, m, t, b) for s in P.STRATEGIES for m in P.MODELS for t in P.TASKS for b in (8000, 100000)]
+    return spark.createDataFrame(rows, "strategy string, model string, task string, budget int").coalesce(1)
 
 
 def _values(d: dict) -> str:
@@ -337,7 +336,7 @@ SELECT c.strategy, model, task, size, budget, chosen, round(1 - body * bf, 6) AS
 )
 def strategy_select_grid(spark, d):
     sizes = table(spark, d, D).groupBy("source").agg(F.sum("n_chars").alias("size")).select("size")
-    g = grid(spark).crossJoin(sizes).crossJoin(spark.createDataFrame([(8000,), (100000,)], "budget int"))
+    g = F.broadcast(grid(spark)).crossJoin(sizes)
     return P.select_strategy(g).select("strategy", "model", "task", "size", "budget", "chosen", F.round("body_threshold", 6).alias("body_threshold"), "minify", "depth", "keep_comments")
 
 

@@ -29,8 +29,8 @@ def scan(spark: SparkSession, root: str, include: Iterable[str] | None = None, m
     """Text files below root. Name and size are tested before contents are read; malformed bytes become U+FFFD."""
     base = root.rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^[a-z]+:/+(?=/)", "")
-    relative = F.when(path.startswith(base), F.expr(f"substring(regexp_replace(path, '^[a-z]+:/+(?=/)', ''), {len(base) + 1})")).otherwise(path)
+    path = F.regexp_replace("path", "^file:/+", "/") if "://" not in root else F.col("path")
+    relative = F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
     df = df.withColumn("relative_path", relative)
     df = df.filter(F.element_at(F.split("relative_path", "\\."), -1).isin(extensions_of(include)) & not_skipped(F.col("relative_path")) & (F.col("length") <= max_file_size))
     if max_files is not None:
