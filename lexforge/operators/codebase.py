@@ -12,12 +12,17 @@ SCRIPT = r"from\s+['\"][^'\"]+['\"]|require\(['\"][^'\"]+['\"]\)"
 SCANS = {"python": (r"from\s+\S+\s+import|import\s+\S+", r"(?:from|import)\s+(\S+)"), "go": ('"[^"]+"', '"([^"]+)"')}
 
 
+def _first(pattern: str):
+    return lambda s: F.regexp_extract(s, pattern, 1)
+
+
 def import_paths(files: DataFrame) -> DataFrame:
     """(file_id, relative_path, import_path, resolved): each import of each file, without a leading ./"""
     pattern, inner = F.regexp_extract_all("content", F.lit(SCRIPT), F.lit(0)), lambda s: F.regexp_extract(s, r"['\"]([^'\"]+)['\"]", 1)
     paths = F.transform(pattern, inner)
     for language, (one, part) in SCANS.items():
-        paths = F.when(F.col("language") == language, F.transform(F.regexp_extract_all("content", F.lit(one), F.lit(0)), lambda s, part=part: F.regexp_extract(s, part, 1))).otherwise(paths)
+        found = F.regexp_extract_all("content", F.lit(one), F.lit(0))
+        paths = F.when(F.col("language") == language, F.transform(found, _first(part))).otherwise(paths)
     df = files.select("file_id", "relative_path", F.explode(F.array_distinct(paths)).alias("p")).withColumn("import_path", F.regexp_replace("p", r"^\./", "")).filter("import_path != ''")
     folder = F.regexp_extract("relative_path", r"^(.*)/[^/]*$", 1)
     rest = F.expr("substring(import_path, 3)")

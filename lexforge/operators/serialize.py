@@ -10,7 +10,7 @@ from ..functions.text import at_least, ceil_div, js_round, units
 
 def bare_signature(sig: Column, name_only: bool = False) -> Column:
     """On one line, without braces, types of parameters and results. name_only: just the declared name."""
-    x = F.trim(F.regexp_replace(F.regexp_replace(sig, r"\s*\{\s*\.\.\.\s*\}\s*\z", ""), r"\s+", " "))
+    x = F.trim(F.regexp_replace(F.regexp_replace(sig, r"\s*[{]\s*[.]{3}\s*[}]\s*\z", ""), r"\s+", " "))
     inner = F.regexp_extract(x, r"\(([^)]*)\)", 1)
     last = lambda p: F.element_at(F.split(F.trim(F.split(F.trim(p), ":")[0]), r"\s+"), -1)
     names = F.array_join(F.filter(F.transform(F.split(inner, ","), last), lambda s: s != ""), ", ")

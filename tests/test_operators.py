@@ -50,7 +50,7 @@ def plain_tokens(code):
             if k:
                 n, i = n + (2 if len(k[0]) <= 5 else 3), i + len(k[0])
                 continue
-            d = re.match(r"\d+\.?\d*(?:[eE][+-]?\d+)?(?:n\b)?", code[i:], re.ASCII)
+            d = re.match(r"[0-9]+\.?[0-9]*(?:[Ee][-+]?[0-9]+)?(?:n\b)?", code[i:], re.ASCII)
             w = re.match(r"[A-Za-z_$#][A-Za-z0-9_$\u0080-\U0010ffff]*", code[i:])
             if d:
                 n, i = n + (2 if len(d[0]) <= 4 else 3), i + len(d[0])
