@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Characters a token, by encoding.
 RATIOS = {"cl100k_base": 3.5, "o200k_base": 4.0, "p50k_base": 3.2, "r50k_base": 3.2}
-VOCABULARY_SIZES = {"cl100k_base": 100_277, "o200k_base": 200_019, "p50k_base": 50_281, "r50k_base": 50_257}
+VOCABULARY_SIZES = {"cl100k_base": 100_256, "o200k_base": 200_000, **dict.fromkeys(("p50k_base", "r50k_base"), 50_257)}
 
 _WORDS = "abstract as async await case catch class const default declare delete else enum export extends finally for from function if implements import in instanceof interface let module namespace new of override private protected public readonly return satisfies static switch throw try type typeof using var while with yield"
 KEYWORDS = sorted(_WORDS.split(), key=lambda w: (-len(w), w))
@@ -140,8 +140,8 @@ def chars_per_token(x: Column) -> Column:
 
 
 def comparison(before: Column, after: Column) -> Column:
-    """Share saved with one decimal."""
-    return F.format_string("%s -> %s (%.1f%% reduction)", before, after, (F.lit(1.0) - after / before) * 100)
+    share = F.when(before > 0, (before - after) / before * 100).otherwise(F.lit(0.0))
+    return F.format_string("tokens: %d → %d (saved %d, %.1f%%)", before, after, before - after, share)
 
 
 def split_words(x: str) -> list[str]:

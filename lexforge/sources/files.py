@@ -7,22 +7,22 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.profiles import EXTENSIONS, language_of
+from ..functions.profiles import language_of
 
-SKIPPED = ("__pycache__", "bower_components", "build", "coverage", "dist", "node_modules", "out", "target", "vendor", "venv", "env", "tmp")
+SKIPPED = ("__pycache__", "build", "coverage", "dist", "node_modules", "target", "vendor", "venv")
+SCANNED = sorted("c cjs cpp cs go h hpp java js jsx kt mjs php py rb rs swift ts tsx".split())
 SCHEMA = "path string, relative_path string, language string, content string, size long"
-ENTRY_PATHS = [f"{d}index.{e}" for d in ("src/", "") for e in ("ts", "js")] + ["src/main.ts", "main.py", "app.py", "main.go", "src/main.rs"]
+ENTRY_PATHS = [f"{d}index.{e}" for d in ("src/", "") for e in ("ts", "js")] + [f"main.{e}" for e in ("ts", "py", "go")] + ["cmd/main.go", "lib.rs"]
 
 
 def extensions_of(patterns: Iterable[str] | None) -> list[str]:
     """Glob patterns count only by what follows their last dot."""
-    return sorted({p.rsplit(".", 1)[-1].replace("*", "") for p in patterns}) if patterns else sorted(EXTENSIONS)
+    return sorted({p.rsplit(".", 1)[-1].replace("*", "") for p in patterns}) if patterns else SCANNED
 
 
 def not_skipped(relative: Column) -> Column:
-    """False below a skipped or hidden folder, and for hidden files."""
-    names = "|".join(s.replace(".", "\\.") for s in SKIPPED)
-    return ~relative.rlike(f"(^|/)({names})/") & ~relative.rlike("(^|/)\\.")
+    """False below a skipped or hidden folder."""
+    return ~relative.rlike(f"(^|/)({'|'.join(SKIPPED)})/") & ~relative.rlike("(^|/)\\.[^/]*/")
 
 
 def scan(spark: SparkSession, root: str, include: Iterable[str] | None = None, max_file_size: int = 1 << 20, max_files: int | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def scan(spark: SparkSession, root: str, include: Iterable[str] | None = None, m
     path = F.regexp_replace("path", "^file:/+", "/") if "://" not in root else F.col("path")
     relative = F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
     df = df.withColumn("relative_path", relative)
-    df = df.filter(F.element_at(F.split("relative_path", "\\."), -1).isin(extensions_of(include)) & not_skipped(F.col("relative_path")) & (F.col("length") <= max_file_size))
+    df = df.filter(F.lower(F.element_at(F.split("relative_path", "\\."), -1)).isin(extensions_of(include)) & not_skipped(F.col("relative_path")) & (F.col("length") <= max_file_size))
     if max_files is not None:
         df = df.orderBy("relative_path").limit(max_files)
     text = F.decode(F.col("content"), "UTF-8")
@@ -50,13 +50,13 @@ def one_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def entry_points(files: DataFrame) -> DataFrame:
-    """(ord, entry): paths that a manifest names, then common ones, if a file has that path or ends in it after a slash."""
+    """(ord, entry): paths that a manifest names, if there is such a file, then common ones, if a file has that path or ends in it after a slash."""
     spark = files.sparkSession
     manifest = files.filter(F.col("relative_path") == "package.json").select(F.explode(F.array(*[F.struct(F.lit(i - 10).alias("ord"), F.regexp_replace(F.get_json_object("content", f"$.{k}"), "^\\./", "").alias("entry")) for i, k in enumerate(("main", "module"))])).alias("e")).select("e.*").filter("entry is not null")
     common = spark.createDataFrame(list(enumerate(ENTRY_PATHS)), "ord int, entry string")
     both = manifest.unionByName(common)
     paths = files.select("relative_path").distinct()
-    hit = (F.col("relative_path") == F.col("entry")) | F.col("relative_path").endswith(F.concat(F.lit("/"), F.col("entry")))
+    hit = (F.col("relative_path") == F.col("entry")) | ((F.col("ord") >= 0) & F.col("relative_path").endswith(F.concat(F.lit("/"), F.col("entry"))))
     return both.join(paths, hit, "left_semi").orderBy("ord")
 
 
