@@ -105,17 +105,26 @@ def contexts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return [*out, (word >> np.uint64(32)).astype(U32)]
 
 
-def slots(ctx: list[np.ndarray], byte: np.ndarray, node: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """The slot of each event."""
-    if order == 0:
-        return node
+def blocks(n: int, size: int = 1 << 17):
+    """Slices of that many events, so that what is made of them stays in a core's cache."""
+    return (slice(a, min(a + size, n)) for a in range(0, n, size))
+
+
+def node_hashes(node: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return node.astype(U32) * U32(0x9E3779B1)
+
+
+def slots(ctx: np.ndarray, byte: np.ndarray, mixed: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each event, for an order beyond the first. ctx: the order's contexts by byte; mixed: node_hashes()."""
     with np.errstate(over="ignore"):
-        x = ctx[order - 1].take(byte)
-        x ^= node.astype(U32) * U32(0x9E3779B1)
+        x = ctx.take(byte)
+        x ^= mixed
         x *= U32(0x85EBCA6B)
         x ^= x >> U32(15)
         x *= U32(0xC2B2AE35)
-        return x >> U32(32 - bits)
+        x >>= U32(32 - bits)
+        return x
 
 
 def _pairs(batches):
@@ -136,10 +145,12 @@ def _counts(trees, bits: tuple):
                 continue
             _, byte, node, bit = events(t, data, offs)
             ctx = contexts(data, offs)
+            x = np.empty(len(byte), np.int64)
             for k, b in enumerate(bits):
-                x = slots(ctx, byte, node, k, b).astype(np.int64)
-                x <<= 1
-                x |= bit
+                for e in blocks(len(byte)):
+                    x[e] = slots(ctx[k - 1], byte[e], node_hashes(node[e]), b) if k else node[e]
+                    x[e] <<= 1
+                    x[e] |= bit[e]
                 if len(x) * 4 < 2 << b:
                     np.add.at(total[k], x, np.uint32(1))
                 else:
@@ -207,15 +218,16 @@ def code_lengths(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.n
     per_byte, byte, node, bit = events(trees, data, offs)
     ctx = contexts(data, offs)
     seen = np.zeros((len(byte), 8), np.int16)  # of an event: predictors, gate, bit; 16 bytes, fetched at once
-    gate = np.zeros(len(byte), np.int16)
-    for k in range(n):
-        x = tables[k].take(slots(ctx, byte, node, k, bits[k]))
-        seen[:, k] = x
-        if k:
+    for e in blocks(len(byte)):
+        own, gate, mixed = seen[e], np.zeros(len(byte[e]), np.int16), node_hashes(node[e])
+        own[:, 0] = tables[0].take(node[e])
+        for k in range(1, n):
+            x = tables[k].take(slots(ctx[k - 1], byte[e], mixed, bits[k]))
+            own[:, k] = x
             gate += x != 0
-    seen[:, 6], seen[:, 7] = gate, bit
+        own[:, 6], own[:, 7] = gate, bit[e]
     seen = seen.view(np.complex128).reshape(-1)
-    del byte, node, bit, ctx, gate
+    del byte, node, bit, ctx
     parts = -(-np.diff(offs) // lane)
     doc = np.repeat(np.arange(n_docs), parts)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
