@@ -6,6 +6,7 @@ other. All hashes are 64-bit and wrap around.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 U = np.uint64
 BLANK_BYTES = b" \t\n\r\f\v"
 #: Bytes of text taken at once, unless one document is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _blank_table() -> np.ndarray:
@@ -73,6 +74,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first : int(offsets[-1])], offsets - first
 
 
+def release() -> None:
+    """Gives memory that this process holds and doesn't use back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # a C library without it
+
+
 def chunks(batches, text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about size bytes of text each: (slice, bytes, offsets)."""
     for b in batches:
@@ -84,6 +94,7 @@ def chunks(batches, text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tup
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
             yield b.slice(at, end - at), data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
             at = end
+    release()
 
 
 def normalised(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
