@@ -7,6 +7,11 @@ shuffled and no user function runs.
 Defined results: a null text counts as empty; an empty or blank text has 0 words and is rejected by the word count; rows that
 repeat are judged alike; a null doc_id passes through; other columns pass through, and measures whose names clash with them are
 only internal. An empty table gives an empty result. Texts of any length are measured whole.
+
+The share of distinct words falls as any text grows. In a text of more than WINDOW words it is therefore the mean over windows of
+WINDOW words that follow each other to the text's end, each weighing as many words as it has. Such a text that says the same again
+at a distance passes in every window; so the measure is at most the share of distinct runs of RUN words in the whole text, which
+doesn't fall with length.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ STOP_WORDS = (
 
 #: measure, least, most, words from which the rule holds
 RULES: list[tuple[str, float | None, float | None, int]] = [
-    ("n_words", 1, 200_000, 0),
+    ("n_words", 1, None, 0),
     ("mean_word_chars", 2.0, 12.0, 20),
     ("symbol_ratio", None, 0.1, 1),
     ("upper_ratio", None, 0.4, 10),
@@ -34,6 +39,10 @@ RULES: list[tuple[str, float | None, float | None, int]] = [
     ("bar_line_ratio", None, 0.5, 10),
 ]
 RULES_BY_NAME = {r[0]: r for r in RULES}
+#: The rules as the SQL states them. It bounds the words and has no windows, so it agrees with RULES on texts of up to WINDOW words.
+SQL_RULES = [("n_words", 1, 200_000, 0), *RULES[1:]]
+#: Words of a window, and of a run that is counted once in a text of several windows.
+WINDOW, RUN = 1 << 15, 8
 
 _BLANK = " \\t\\n\\r\\f"
 _SIGNS = ".,;:!?'\"()-"
@@ -45,6 +54,14 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
+def _distinct_words(words: Column, n: Column) -> Column:
+    """Distinct words of each window, summed; no more than the distinct runs in a text of several windows."""
+    windows = F.sequence(F.lit(0), ((n - 1) / WINDOW).cast("int"))
+    by_window = F.aggregate(windows, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i * WINDOW + 1, WINDOW))))
+    runs = F.transform(F.sequence(F.lit(0), n - RUN), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(RUN)]))
+    return F.when(n > WINDOW, F.least(by_window, F.size(F.array_distinct(runs)))).otherwise(F.size(F.array_distinct(words)))
+
+
 def measures(text: Column) -> list[dict[str, Column]]:
     """Expressions by name in layers, each of which may use the names of the layers before it."""
     c = F.col
@@ -73,7 +90,7 @@ def measures(text: Column) -> list[dict[str, Column]]:
             "upper_ratio": _ratio(c("_upper"), c("_letters") - c("_blank")),
             "alpha_word_ratio": _ratio(c("_alpha_words"), c("n_words")),
             "stop_word_ratio": _ratio(F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))), c("n_words")),
-            "distinct_word_ratio": _ratio(F.size(F.array_distinct("_words")), c("n_words")),
+            "distinct_word_ratio": _ratio(_distinct_words(c("_words"), c("n_words")), c("n_words")),
             "duplicate_line_ratio": _ratio(c("n_lines") - F.size(F.array_distinct("_lines")), c("n_lines")),
             "bar_line_ratio": _ratio(c("_bars"), c("n_lines")),
         },
@@ -123,7 +140,7 @@ def oracle_sql(rules=None) -> str:
     blank = "[ \\t\\n\\r\\f]"
     rule = " AND ".join(
         f"(n_words < {words} OR ({' AND '.join(x for x in (f'{n} >= {lo}' if lo is not None else '', f'{n} <= {hi}' if hi is not None else '') if x)}))"
-        for n, lo, hi, words in rules or RULES
+        for n, lo, hi, words in rules or SQL_RULES
     )
     r = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / {b} ELSE 0.0 END"
     shown = ", ".join("n_words::BIGINT AS n_words" if n == "n_words" else f"round({n}, 6) AS {n}" for n in SHOWN)

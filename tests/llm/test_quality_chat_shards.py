@@ -44,6 +44,21 @@ def test_quality_of_odd_rows(spark):
         assert quality.quality_filter(df.limit(0)).collect() == []
 
 
+def test_quality_of_very_long_texts(spark):
+    d = "/root/testdata/sf0.1"
+    labelled = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'").join(labelled, "doc_id").orderBy("doc_id")
+    texts = list(dict.fromkeys(r.text for r in docs.select("text").collect()))
+    words = " ".join(texts).split(" ")
+    assert len(words) >= 500_000
+    again = words[:40_000] * 10  # each window passes
+    rows = [(n, " ".join(words[:n])) for n in (20_000, 150_000, 500_000)] + [(0, " ".join(again)), (1, "the same old words again and again " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.m for r in quality.measured(df).select("_doc.doc_id", "m").collect()}
+    assert max(got[n].distinct_word_ratio for n in (150_000, 500_000)) < 1.3 * min(got[n].distinct_word_ratio for n in (150_000, 500_000))
+    assert sorted(r.doc_id for r in quality.quality_filter(df).collect()) == [20_000, 150_000, 500_000]
+
+
 def test_rules_are_one_projection_without_user_functions(spark):
     plan = quality.quality_report(spark.read.parquet(f"{D}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan and plan.count(" Filter ") == 1
