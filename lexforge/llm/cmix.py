@@ -9,10 +9,14 @@ seen after the hashed context and node. Each task counts its own texts and sends
 are summed where they meet; so what is gathered grows with the corpus, while the model (one 16-bit number a slot) has the size that
 SLOT_BITS sets, and is broadcast.
 
-Online: text is cut into lanes of LANE bytes at most (contexts reach over the cuts, weights don't). The weights of a prediction
-are the lane's weight vector times the factor of its gate, which is the number of orders that have seen its context. After every bit
-the vector moves against the error by RATE, so weights adapt to the text as it is read. Lanes are independent, so results don't depend on partitioning, and thousands of
-lanes step together in numpy. A document's bits are the sum of all its predictions' code lengths.
+Online (full_lengths, the query's): the gate of a prediction, the number of orders that have seen its context, chooses one of the
+document's sets of weights. After every bit that set moves against the error by RATE, from the document's first bit to its last. The
+mixed probability is averaged with a final stage's, a curve that the gate chooses and that adapts alike. Documents are
+independent, so results don't depend on partitioning, and the documents of a chunk step together in numpy. A document's bits are the
+sum of all its predictions' code lengths. Bit predictors are counted before and don't change while a text is read.
+
+score() also takes code_lengths, which cuts text into lanes of LANE bytes at most (contexts reach over the cuts, weights don't), has
+one vector of weights a lane, times a fixed factor of the gate, and no final stage.
 
 Defined results: null and empty texts have 0 bytes, 0 bits and null bits a byte; repeated rows are scored alike (and counted each);
 a null doc_id is scored; other columns are ignored; an empty table gives an empty result. Texts are scored whole.
@@ -33,6 +37,8 @@ from . import words as W
 ORDERS = ("node", "2", "3", "4", "word")
 SLOT_BITS = (16, 20, 22, 22, 22)
 RANGES, LANE, RATE, SCALE, BLOCK = 64, 1024, 0.02, 256.0, 64
+#: Points of the final stage's curves, points for each unit of the logit, and the least probability of a bit.
+CURVE, STEPS, LEAST = 33, 2, 2.0**-20
 TRAIN_BYTES, SCORE_BYTES = 2 << 20, 5 << 19
 U32 = np.uint32
 
@@ -210,11 +216,9 @@ def gate_factors(n: int) -> np.ndarray:
     return (0.25 + 0.5 / (np.arange(n) + 1)).astype(np.float32)
 
 
-def code_lengths(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.ndarray, offs: np.ndarray, lane: int = LANE, rate: float = RATE) -> np.ndarray:
-    """Bits of each text."""
-    n_docs, n = len(offs) - 1, len(bits)
-    if not len(data):
-        return np.zeros(n_docs)
+def predictions(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first event of each byte and their number, what is known of each event before it is coded)."""
+    n = len(bits)
     per_byte, byte, node, bit = events(trees, data, offs)
     ctx = contexts(data, offs)
     seen = np.zeros((len(byte), 8), np.int16)  # of an event: predictors, gate, bit; 16 bytes, fetched at once
@@ -226,8 +230,15 @@ def code_lengths(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.n
             own[:, k] = x
             gate += x != 0
         own[:, 6], own[:, 7] = gate, bit[e]
-    seen = seen.view(np.complex128).reshape(-1)
-    del byte, node, bit, ctx
+    return per_byte, seen.view(np.complex128).reshape(-1)
+
+
+def code_lengths(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.ndarray, offs: np.ndarray, lane: int = LANE, rate: float = RATE) -> np.ndarray:
+    """Bits of each text under one vector of weights a lane, times its gate's factor."""
+    n_docs, n = len(offs) - 1, len(bits)
+    if not len(data):
+        return np.zeros(n_docs)
+    per_byte, seen = predictions(trees, tables, bits, data, offs)
     parts = -(-np.diff(offs) // lane)
     doc = np.repeat(np.arange(n_docs), parts)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -266,25 +277,73 @@ def code_lengths(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.n
     return np.bincount(doc, weights=total / np.log(2), minlength=n_docs)
 
 
-def _scores(model, bits: tuple):
+def full_lengths(trees: Trees, tables: list[np.ndarray], bits: tuple, data: np.ndarray, offs: np.ndarray, rate: float = RATE) -> np.ndarray:
+    """Bits of each text. A document has a set of weights for each gate, learned from its first to its last bit, and a final
+    stage: for each gate a curve of CURVE points over the mixed logit, which starts as the identity and moves towards the bits."""
+    n_docs, n = len(offs) - 1, len(bits)
+    if not len(data):
+        return np.zeros(n_docs)
+    per_byte, seen = predictions(trees, tables, bits, data, offs)
+    ev, count = per_byte[offs[:-1]], per_byte[offs[1:]] - per_byte[offs[:-1]]
+    doc = np.argsort(-count, kind="stable")
+    ev, count = ev[doc], count[doc]
+    first = np.arange(n_docs) * n
+    weights = np.repeat(np.tile(gate_factors(n), n_docs)[:, None], n, axis=1)
+    points = ((np.arange(CURVE) - CURVE // 2) / STEPS).astype(np.float32)
+    curves = np.tile(1 / (1 + np.exp(-points)), n_docs * n)
+    reach = np.float32(points[-1] - 1e-3)
+    total = np.zeros(n_docs)
+    for s0 in range(0, int(count[0]), BLOCK):
+        steps = min(BLOCK, int(count[0]) - s0)
+        live = np.searchsorted(-count, -(s0 + np.arange(steps)), "left")  # documents with more than s events come first
+        m = int(live[0])
+        at = np.minimum(ev[None, :m] + (s0 + np.arange(steps))[:, None], len(seen) - 1)
+        own = seen.take(at).view(np.int16).reshape(steps, m, 8)
+        x = own[:, :, :n].astype(np.float32) / np.float32(SCALE)
+        sets, aim = own[:, :, 6] + first[:m], own[:, :, 7].astype(np.float32)
+        p = np.ones((steps, m), np.float32)  # of the bit that comes
+        for s, k in enumerate(live.tolist()):
+            g, xs, bit = sets[s, :k], x[s, :k], aim[s, :k]
+            w = weights.take(g, axis=0)
+            dot = np.clip(np.einsum("ln,ln->l", w, xs), -14, 14)
+            mixed = 1 / (1 + np.exp(-dot))
+            place = (np.clip(dot, -reach, reach) - points[0]) * STEPS
+            low = place.astype(np.int64)
+            place -= low
+            low += g * CURVE
+            left = curves.take(low)
+            final = (mixed + left + place * (curves.take(low + 1) - left)) / 2
+            p[s, :k] = np.where(bit > 0, final, 1 - final)
+            weights[g] = w + (np.float32(rate) * (bit - mixed))[:, None] * xs
+            low += place >= 0.5
+            old = curves.take(low)
+            curves[low] = old + np.float32(rate) * (bit - old)
+        total[:m] -= np.log2(np.maximum(p, LEAST)).sum(axis=0, dtype=np.float64)
+    out = np.zeros(n_docs)
+    out[doc] = total
+    return out
+
+
+def _scores(model, bits: tuple, lengths):
     def run(batches):
         trees, tables = pickle.loads(model.value)
         for b, data, offs in W.chunks(batches, size=SCORE_BYTES):
-            found = code_lengths(trees, tables, bits, data, offs)
+            found = lengths(trees, tables, bits, data, offs)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs)), pa.array(found)], ["doc_id", "n_bytes", "bits"])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[Trees, list[np.ndarray]], bits: tuple = SLOT_BITS) -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte) under a trained model."""
+def score(docs: DataFrame, model: tuple[Trees, list[np.ndarray]], bits: tuple = SLOT_BITS, lengths=code_lengths) -> DataFrame:
+    """(doc_id, n_bytes, bits, bits_per_byte) under a trained model. lengths: full_lengths, or code_lengths, which is faster and adapts less."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = src.mapInArrow(_scores(sent, bits), "doc_id long, n_bytes long, bits double")
+    out = src.mapInArrow(_scores(sent, bits, lengths), "doc_id long, n_bytes long, bits double")
     per = F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes"))
     return out.select("doc_id", "n_bytes", F.round("bits", 2).alias("bits"), F.round(per, 4).alias("bits_per_byte"))
 
 
 def bits_per_byte(docs: DataFrame, bits: tuple = SLOT_BITS) -> DataFrame:
-    """score() of docs under a model of docs."""
-    return score(docs, train(docs, bits), bits)
+    """score() of docs under a model of docs, with weights and a final stage that each whole document adapts."""
+    alike = docs.sortWithinPartitions(F.length("text"))  # documents of a chunk end at about the same step
+    return score(alike, train(docs, bits), bits, full_lengths)

@@ -100,6 +100,42 @@ def test_training_and_scores_equal_single_steps(spark):
         assert abs(got[i].bits - plain_bits(trees, tables, t)) < 0.02 + 1e-4 * len(t)
 
 
+def plain_full_bits(trees, tables, text):
+    n, total = len(BITS), 0.0
+    w = [[0.25 + 0.5 / (g + 1)] * n for g in range(n)]
+    points = [(i - C.CURVE // 2) / C.STEPS for i in range(C.CURVE)]
+    curves = [[1 / (1 + math.exp(-x)) for x in points] for _ in range(n)]
+    for i in range(len(text)):
+        for node, bit in walk(trees, text, i):
+            x = [int(tables[k][s]) / C.SCALE for k, s in enumerate(plain_slots(text, i, node))]
+            g = sum(v != 0 for v in x[1:])
+            dot = max(-14.0, min(14.0, sum(a * b for a, b in zip(w[g], x))))
+            p = 1 / (1 + math.exp(-dot))
+            place = (max(points[0] + 1e-3, min(points[-1] - 1e-3, dot)) - points[0]) * C.STEPS
+            low = int(place)
+            q = curves[g][low] + (place - low) * (curves[g][low + 1] - curves[g][low])
+            final = (p + q) / 2
+            total -= math.log2(max(C.LEAST, final if bit else 1 - final))
+            w[g] = [a + C.RATE * (bit - p) * b for a, b in zip(w[g], x)]
+            low += place - low >= 0.5
+            curves[g][low] += C.RATE * (bit - curves[g][low])
+    return total
+
+
+def test_query_learns_over_whole_documents(spark):
+    texts = [*TEXTS, "a cat is a rat that sat on the dog. " * 120, "zq xj 9 " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    trees, tables = plain_train([t.encode() for t in texts])
+    got = {r.doc_id: r.bits for r in C.bits_per_byte(docs, BITS).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain_full_bits(trees, tables, t.encode())) < 0.02 + 1e-4 * len(t)
+    data, offs = batch(texts)
+    whole = C.full_lengths(trees, tables, BITS, data, offs)
+    for i, t in enumerate(texts):
+        assert abs(C.full_lengths(trees, tables, BITS, *batch([t]))[0] - whole[i]) < 1e-2
+    assert whole[6] < C.code_lengths(trees, tables, BITS, data, offs)[6]  # nothing learned is thrown away
+
+
 def test_trees_are_complete_codes():
     pairs = np.random.default_rng(1).integers(0, 50, (256, 256)) ** 3
     pairs[7] = 0
