@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, cmix, decontam, minhash, packing, quality, shards, suffix, tokens, urls
+from . import chat, decontam, minhash, mixing, packing, quality, shards, suffix, tokens, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,7 @@ QUERIES = {
     "op7_token_ids": lambda spark, d: tokens.token_blocks(_t(spark, d, "documents")),
     "op8_url_filter": lambda spark, d: urls.url_report(_t(spark, d, "pages")),
     "op9_benchmark_decontamination": lambda spark, d: decontam.contaminated(_t(spark, d, "documents"), _t(spark, d, "benchmark")),
-    "op10_lm_scoring": lambda spark, d: cmix.bits_per_byte(_t(spark, d, "documents")),
+    "op10_lm_scoring": lambda spark, d: mixing.bits_per_byte(_t(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
