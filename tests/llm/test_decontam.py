@@ -16,15 +16,17 @@ def brute(docs, items, stride=D.STRIDE):
         return set()
     n, mean = len(its), sum(len(w) for _, w, _ in its) / len(its)
     df = Counter(t for _, w, _ in its for t in set(w))
-    stride = max(stride, max(len(w) for _, w, _ in its))
     out = set()
     for d, text in docs:
         w = norm(text)
         best = {}
-        for a in range(0, len(w), stride):
-            own = w[a : a + 2 * stride]
-            have = set(own)
-            for x, (i, iw, t) in enumerate(its):
+        for x, (i, iw, t) in enumerate(its):
+            step = stride
+            while step < len(iw):
+                step *= 2
+            for a in range(0, len(w), step):
+                own = w[a : a + 2 * step]
+                have = set(own)
                 tf = Counter(iw)
                 s = {u: math.log(1 + (n - df[u] + 0.5) / (df[u] + 0.5)) * c * (D.K1 + 1) / (c + D.K1 * (1 - D.B + D.B * len(iw) / mean)) for u, c in tf.items()}
                 score = sum(v for u, v in s.items() if u in have) / (D.TAU * sum(s.values()))
@@ -82,12 +84,13 @@ def test_wand_finds_all_above_threshold():
     df = Counter(h for _, w, _ in its for h in set(w.tolist()))
     ix = D.Index(its, df, len(its), sum(len(w) for _, w, _ in its) / len(its), 64)
     for _ in range(200):
-        ts = sorted(rng.choice(len(ix.post), int(rng.integers(1, 40)), replace=False).tolist())
+        ts = sorted(rng.choice(len(ix.in_block), int(rng.integers(1, 40)), replace=False).tolist())
         want = Counter()
         for t in ts:
-            for x, s in ix.post[t]:
-                want[x] += s
-        got = dict(ix.search(ts, set(range(ix.top.shape[1]))))
+            for _, p in ix.in_block[t].values():
+                for x, s in p:
+                    want[x] += s
+        got = dict(ix.search(ts, set(range(ix.blocks))))
         assert set(got) == {x for x, s in want.items() if s >= 1}
         assert all(abs(got[x] - want[x]) < 1e-9 for x in got)
 
@@ -97,11 +100,32 @@ def test_shards_give_the_same(spark, monkeypatch):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = rows(D.contaminated(d, i))
     monkeypatch.setattr(D, "SHARD_CHARS", 3000)
-    assert len(D.shards(i)) > 3 and rows(D.contaminated(d, i)) == whole
+    assert len(list(D.shards(i))) > 3 and rows(D.contaminated(d, i)) == whole
     gone = {r[0] for r in whole}
     assert {r.doc_id for r in D.decontaminate(d, i).collect()} == {k for k, _ in docs} - gone
 
 
+def test_a_long_item_changes_no_other(spark):
+    docs, items = case(6)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rng = np.random.default_rng(7)
+    long = " ".join(f"long{int(x)}" for x in rng.integers(0, 300, 400))
+    docs.append((99, "some words " + long + " and more"))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    with_long = rows(D.contaminated(d, spark.createDataFrame([*items, (999, long)], "item_id long, text string")))
+    assert with_long >= {x for x in with_long if x[1] == 999} and (99, 999) in {x[:2] for x in with_long}
+    found = lambda r: {x[:2] for x in r if x[1] != 999}
+    assert found(with_long) == found({tuple(x) for x in brute(docs, [*items, (999, long)])})
+    assert {r.doc_id for r in D.decontaminate(d, spark.createDataFrame([*items, (999, long)], "item_id long, text string")).collect()} == {k for k, _ in docs} - {x[0] for x in with_long}
+
+
+def test_ties_go_to_the_first_passage(spark):
+    item = "which word comes first here? the one that stands before"
+    docs = spark.createDataFrame([(1, item + " pad" * 400 + " " + item)], "doc_id long, text string")
+    got = D.contaminated(docs, spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")).collect()
+    assert sorted((r.item_id, r.score, r.question, r.answer) for r in got) == [(1, 2.0, 1.0, 1.0), (2, 2.0, 1.0, 1.0)]
+
+
 def test_question_and_answer_split():
     w, head = D.item_words("What is it? A thing.")
     assert (len(w), head) == (5, 3)
