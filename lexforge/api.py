@@ -89,6 +89,7 @@ class Restore:
     """Restore maps as tables (see serialize.restore_map)."""
 
     create = staticmethod(serialize.restore_map)
+    create_from_code = staticmethod(serialize.restore_map_from_code)
     symbol = staticmethod(serialize.restore_symbol)
     chunk = staticmethod(serialize.restore_chunk)
     text = staticmethod(serialize.restore_text)
@@ -96,7 +97,7 @@ class Restore:
 
 def write_context(root: str, prompt: str, target_tokens: int = 8000, name: str = "optimized-context.txt") -> str:
     """Writes the context of a folder into it, and its path as a step output where GITHUB_OUTPUT names a file."""
-    text = plans.codebase_context(sources.scan(_spark(), root), prompt, target_tokens).first().context
+    text = plans.codebase_context(sources.scan(_spark(), root), prompt, target_tokens, sources.manifest(_spark(), root)).first().context
     path = os.path.join(root, name)
     with open(path, "w", encoding="utf-8") as f:
         f.write(text)

@@ -148,6 +148,7 @@ def estimate(x: Column, options: Options = Options(remove_blank_lines=True)) ->
 
 
 def compress_full(x: Column, options: Options = Options(), language: str | None = None) -> dict[str, Column]:
-    code = compress(x, options, language)
+    """smart_compress() with sizes and what would be removed."""
+    code = smart_compress(x, options, language)
     ratio = F.when(units(code) > 0, units(x) / units(code)).otherwise(F.lit(1.0))
     return {"code": code, "original_size": units(x).cast("long"), "compressed_size": units(code).cast("long"), "ratio": ratio, "removed": estimate(x, options)}

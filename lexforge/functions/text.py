@@ -50,27 +50,30 @@ def at_least(x: Column, least: int, ratio: float = 3.5) -> Column:
     return F.greatest(F.lit(least), ceil_div(units(x), ratio)).cast("long")
 
 
-def _weight(t: Column) -> Column:
-    first = F.substring(t, 1, 1)
-    size = F.length(t)
-    wide = (F.octet_length(F.encode(t, "UTF-16BE")) / 2).cast("double")
-    return (
-        F.when(first.isin(" ", "\n", "\r", "\t"), 1)
-        .when(t == "...", 2)
-        .when(t.isin(KEYWORDS), F.when(size <= 5, 2).otherwise(3))
-        .when(first.between("0", "9"), F.when(size <= 4, 2).otherwise(3))
-        .when(first.between("a", "z") | first.between("A", "Z") | first.isin("_", "$", "#"), F.greatest(F.lit(1), F.ceil(wide / F.lit(3.2)).cast("int")))
-        .when(F.octet_length(t) == 2, 2)
-        .when(F.octet_length(t) == 3, 3)
-        .when(F.octet_length(t) == 4, 8)
-        .otherwise(1)
-    )
+def _words_pattern() -> str:
+    """One match a keyword, name, number or ellipsis. A keyword ends where no ASCII word character follows; where a $ or a sign beyond ASCII follows it is a match of its
+    own, elsewhere the whole name is one."""
+    beyond = "[$\\x{80}-\\x{10FFFF}]"
+    number = "\\d++\\.?\\d*+(?:[eE][+-]?\\d++)?(?:n(?![A-Za-z0-9_]))?"
+    name = "[A-Za-z_$#][A-Za-z0-9_$\\x{80}-\\x{10FFFF}]*+"
+    return f"\\.\\.\\.|(?=[a-z]++{beyond})(?:{'|'.join(KEYWORDS)})(?={beyond})|{number}|{name}"
+
+
+def _excess(t: Column) -> Column:
+    """How much more a word weighs than its signs would one by one."""
+    size, octets, first = F.length(t), F.octet_length(t), F.substring(t, 1, 1)
+    far = F.when(size == octets, F.lit(0)).otherwise((F.octet_length(F.encode(t, "UTF-16BE")) / 2).cast("int") - size)  # signs of two code units
+    short = lambda n: F.when(size <= n, 2).otherwise(3)
+    named = F.ceil((size + far).cast("double") / F.lit(3.2)).cast("int")
+    weight = F.when(t.isin(KEYWORDS), short(5)).when(first.between("0", "9"), short(4)).when(t == "...", 2).otherwise(named)
+    return weight - octets - far * 4
 
 
 def tokens(x: Column) -> Column:
-    """Estimate by lexemes: weights summed, times 0.88, rounded up."""
-    found = F.regexp_extract_all(x, F.lit(lexeme_pattern("(?![A-Za-z0-9_])")), F.lit(0))
-    total = F.aggregate(F.transform(found, _weight), F.lit(0), lambda a, w: a + w)
+    """Estimate by lexemes: weights summed, times 0.88, rounded up. Signs outside words weigh their UTF-8 bytes, or 8 if these are 4; so only words
+    are taken apart."""
+    found = F.regexp_extract_all(x, F.lit(_words_pattern()), F.lit(0))
+    total = F.aggregate(found, F.octet_length(x) + F.regexp_count(x, F.lit("[\\x{10000}-\\x{10FFFF}]")) * 4, lambda a, t: a + _excess(t))
     return F.when(F.length(x) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(total.cast("double") * F.lit(0.88)))).cast("long")
 
 

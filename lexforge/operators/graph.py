@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, numbered
 
 DAMPING, ROUNDS, CUT_EVERY = 0.85, 20, 5
 WEIGHTS = {"call": 1.0, "inheritance": 2.0, "implementation": 1.5, "import": 1.0}
@@ -105,7 +105,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if new.filter("label != old").isEmpty():
             break
         lab = new.drop("old")
-    ranks = new.select("label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)
+    ranks = numbered(new.select("label").distinct(), "cluster", "label")
     return new.join(ranks, "label").select("id", F.col("cluster").cast("long").alias("cluster"))
 
 

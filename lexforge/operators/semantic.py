@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 STOP_WORDS = sorted("a an and are be did do does for how in is it of on or that the this to was were what where which who why with".split())
 NAME_WEIGHT, BODY_UNITS = 3, 500
 
@@ -16,7 +22,8 @@ def terms(x: Column) -> Column:
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(id, term, tf)"""
-    return docs.select("id", F.explode(terms(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = docs.select("id", F.explode(F.split(F.lower(text), "[^A-Za-z0-9_]+")).alias("term"))
+    return each.filter((F.col("term") != "") & ~F.col("term").isin(STOP_WORDS)).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def symbol_counts(symbols: DataFrame) -> DataFrame:
@@ -47,8 +54,8 @@ def scores(docs: DataFrame, w: DataFrame, idfs: DataFrame, prompt: str) -> DataF
     q = spark.range(1).select(F.explode(terms(F.lit(prompt))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     q = q.join(idfs, "term").select("term", (F.col("n") * F.col("idf")).alias("q"))
     length = F.broadcast(q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn")))
-    dot = w.join(F.broadcast(q), "term").groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    hit = dot.join(norms(w), "id").crossJoin(length).select("id", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
+    both = w.join(F.broadcast(q), "term", "left").groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    hit = both.filter("dot is not null").crossJoin(length).select("id", (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score"))
     return docs.select("id").join(hit, "id", "left").na.fill(0.0, ["score"])
 
 
@@ -56,14 +63,116 @@ def ranked_by(docs: DataFrame, scored: DataFrame) -> DataFrame:
     return docs.join(scored, "id").orderBy(F.desc("score"), "ordinal")
 
 
-def related(w: DataFrame, top: int = 5) -> DataFrame:
-    """(id, other, score, rank): for each document the most similar others, scores above 0."""
-    n = norms(w)
-    unit = w.join(n, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("u"))
-    pairs = unit.join(unit.select(F.col("id").alias("other"), "term", F.col("u").alias("v")), "term").filter("id != other")
-    cos = pairs.groupBy("id", "other").agg(F.sum(F.col("u") * F.col("v")).alias("score"))
-    order = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "other")
-    return cos.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= top) & (F.col("score") > 0))
+#: Queries, and numbers of their vectors, that are held and broadcast at once.
+BLOCK_QUERIES, BLOCK_NUMBERS = 2048, 4 << 20
+
+
+def _blocks(queries: DataFrame, size: Column) -> Iterator[list]:
+    """Rows of the queries, as many at once as the bounds allow."""
+    held, numbers = [], 0
+    for r in queries.withColumn("_size", size).toLocalIterator():
+        if held and (len(held) >= BLOCK_QUERIES or numbers + r["_size"] > BLOCK_NUMBERS):
+            yield held
+            held, numbers = [], 0
+        held.append(r)
+        numbers += r["_size"]
+    if held:
+        yield held
+
+
+def _best(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, top: int) -> pa.RecordBatch:
+    """Of a queries x others matrix the best of each row, ties by the lesser id. Scores of other - id pairs that are the same row, or not above 0, don't count."""
+    out = []
+    scores = np.where(others[None, :] == ids[:, None], -np.inf, np.round(scores, 9))
+    for q in range(len(ids)):
+        own = scores[q]
+        if len(own) > top:
+            at = np.flatnonzero(own >= np.partition(own, -top)[-top])
+        else:
+            at = np.arange(len(own))
+        at = at[np.lexsort((others[at], -own[at]))][:top]
+        at = at[own[at] > -np.inf]
+        out.append((np.repeat(ids[q], len(at)), others[at], own[at]))
+    cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], ["id", "other", "score"])
+
+
+def _searched(rows: DataFrame, blocks: Iterator, search, top: int) -> DataFrame:
+    """(id, other, score, rank): each block is broadcast and meets all rows, of which each batch leaves its best; the best of these count."""
+    out = None
+    for block in blocks:
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+        found = rows.mapInArrow(search(sent, top), "id long, other long, score double")
+        if out is not None:
+            found = cut(found)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = rows.sparkSession.createDataFrame([], "id long, other long, score double")
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def _by_product(sent, top: int):
+    def run(batches):
+        ids, m = sent.value
+        for b in batches:
+            other = b.column(0).to_numpy(zero_copy_only=False)
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(len(other), -1)
+            size = np.sqrt((v * v).sum(axis=1))
+            v /= np.where(size > 0, size, 1)[:, None]
+            if len(other):
+                yield _best(ids, other, m @ v.T, top)
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(id, other, score, rank): for each of the queries (id, vector) the nearest other vectors (id, vector) by cosine, to nine decimals. Blocks of queries are
+    multiplied with whole batches of vectors."""
+
+    def blocks():
+        for rows in _blocks(queries.filter("vector is not null"), F.size("vector")):
+            m = np.array([r.vector for r in rows], np.float64)
+            size = np.sqrt((m * m).sum(axis=1))
+            yield np.array([r.id for r in rows]), m / np.where(size > 0, size, 1)[:, None]
+
+    return _searched(vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null"), blocks(), _by_product, top)
+
+
+def _by_postings(sent, top: int):
+    def run(batches):
+        ids, postings = sent.value
+        for b in batches:
+            other = b.column(0).to_numpy(zero_copy_only=False)
+            scores = np.zeros((len(ids), len(other)))
+            for j, (own, w) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for t, u in zip(own, w):
+                    if (p := postings.get(t)) is not None:
+                        scores[p[0], j] += p[1] * u
+            scores[scores <= 0] = -np.inf
+            if len(other):
+                yield _best(ids, other, scores, top)
+
+    return run
+
+
+def related(w: DataFrame, top: int = 5, queries: DataFrame | None = None) -> DataFrame:
+    """(id, other, score, rank): for each document, or for those that queries (id) name, the most similar others, scores above 0, to nine decimals. Queries are held as postings,
+    a block at a time; no term's documents are ever paired with each other."""
+    each = w.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("w"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = cut(each.select(F.col("id").cast("long").alias("id"), "terms", F.transform("w", lambda x: x / F.col("norm")).alias("w")))
+    asked = unit if queries is None else unit.join(queries.select("id").distinct(), "id", "left_semi")
+
+    def blocks():
+        for rows in _blocks(asked, F.size("terms")):
+            postings: dict = {}
+            for q, r in enumerate(rows):
+                for t, u in zip(r.terms, r.w):
+                    postings.setdefault(t, ([], []))[0].append(q)
+                    postings[t][1].append(u)
+            yield np.array([r.id for r in rows]), {t: (np.array(q), np.array(u)) for t, (q, u) in postings.items()}
+
+    return _searched(unit, blocks(), _by_postings, top)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -28,27 +28,32 @@ def header(task: Column, strategy: Column) -> Column:
     return F.concat(F.lit("// Optimized for "), task, F.lit(" task · "), strategy, F.lit(" strategy"))
 
 
-def _pieces(filled: DataFrame, mode: str, name_only: bool) -> DataFrame:
-    """content, the lines it becomes, and how many line numbers it takes."""
+def _mode(mode: Column | str) -> Column:
+    return F.lit(mode) if isinstance(mode, str) else mode
+
+
+def _pieces(filled: DataFrame, mode: Column | str, name_only: bool) -> DataFrame:
+    """content, the lines it becomes, and how many line numbers it takes. mode: maximal, minify or standard, for all or by row."""
     content = F.when(F.col("form") == "body", F.col("full_source")).otherwise(F.col("signature"))
     df = filled.filter("form != 'excluded'").withColumn("content", content).filter("content != ''")
     n = F.size(F.split("content", "\n"))
     doc = F.col("documentation") if "documentation" in filled.columns else F.lit(None).cast("string")
     lead = F.when(doc.isNotNull(), F.array(F.concat(F.lit("/** "), doc, F.lit(" */")))).otherwise(F.array().cast("array<string>"))
-    if mode == "maximal":
-        own, used = F.array(bare_signature(F.col("signature"), name_only)), F.lit(1)
-    elif mode == "minify":
-        own, used = F.array(F.concat(F.lit("// "), F.col("name"), F.lit(": "), F.col("type")), F.trim(F.regexp_replace("content", "\\n+", " "))), F.lit(2)
-    else:
-        own, used = F.array(F.col("content"), F.lit("")), n + 1
+    forms = {
+        "maximal": (F.array(bare_signature(F.col("signature"), name_only)), F.lit(1)),
+        "minify": (F.array(F.concat(F.lit("// "), F.col("name"), F.lit(": "), F.col("type")), F.trim(F.regexp_replace("content", "\\n+", " "))), F.lit(2)),
+    }
+    own, used = F.array(F.col("content"), F.lit("")), n + 1
+    for m, (o, u) in forms.items():
+        own, used = F.when(_mode(mode) == m, o).otherwise(own), F.when(_mode(mode) == m, u).otherwise(used)
     return df.withColumns({"emitted": F.concat(lead, own), "used": (F.size(lead) + used).cast("long")})
 
 
-def chunks(filled: DataFrame, mode: str = "standard", import_lines: Column | None = None, name_only: bool = False, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def chunks(filled: DataFrame, mode: Column | str = "standard", import_lines: Column | None = None, name_only: bool = False, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """A row for each emitted symbol: position, content, start_line, end_line, token_count, symbol, priority, chunk_type. Line numbers are a
     running sum of the lines before. import_lines: how many lines the import block takes."""
     df = _pieces(filled, mode, name_only)
-    first = F.lit(1 if mode != "standard" else 2) + (import_lines if import_lines is not None else F.lit(0))
+    first = F.when(_mode(mode) == "standard", 2).otherwise(1) + (import_lines if import_lines is not None else F.lit(0))
     w = Window.partitionBy(*by).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("used").over(w), F.lit(0)) + first
     return df.withColumns({"start_line": start, "end_line": start + F.col("used") - 1}).select(
@@ -57,16 +62,16 @@ def chunks(filled: DataFrame, mode: str = "standard", import_lines: Column | Non
     )
 
 
-def code_of(chunk_rows: DataFrame, files: DataFrame, mode: str = "standard", by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def code_of(chunk_rows: DataFrame, files: DataFrame, mode: Column | str = "standard", by: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """(by..., code): files (by..., task, strategy, imports array or null) with the chunks' lines under header and imports."""
     body = chunk_rows.groupBy(*by).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("position", "emitted"))), lambda e: e["emitted"])).alias("body"))
     df = files.join(body, list(by), "left")
     lines = F.coalesce("body", F.array().cast("array<string>"))
-    if mode == "standard":
-        lines = F.when(F.size(lines) > 0, F.concat(F.array(header(F.col("task"), F.col("strategy"))), lines)).otherwise(lines)
+    if mode != "maximal":
+        lines = F.when((_mode(mode) == "standard") & (F.size(lines) > 0), F.concat(F.array(header(F.col("task"), F.col("strategy"))), lines)).otherwise(lines)
     block = F.lit("")
-    if mode != "maximal" and "imports" in files.columns:
-        block = F.when(F.size(F.coalesce("imports", F.array().cast("array<string>"))) > 0, F.concat(F.array_join(F.array_distinct("imports"), "\n"), F.lit("\n\n"))).otherwise("")
+    if "imports" in files.columns:
+        block = F.when((_mode(mode) != "maximal") & (F.size(F.coalesce("imports", F.array().cast("array<string>"))) > 0), F.concat(F.array_join(F.array_distinct("imports"), "\n"), F.lit("\n\n"))).otherwise("")
     return df.select(*by, F.regexp_replace(F.concat(block, F.array_join(lines, "\n")), r"\A\s+|\s+\z", "").alias("code"))
 
 
@@ -192,6 +197,13 @@ def restore_map(chunk_rows: DataFrame, symbols: DataFrame, plain_names: bool = F
     return df.select("file_id", "position", "chunk_id", F.array("key").alias("symbol_names"), found.alias("original_sources"), "start_line", "token_count", cost.alias("original_tokens"))
 
 
+def restore_map_from_code(files: DataFrame, chunk_rows: DataFrame, plain_names: bool = False) -> DataFrame:
+    """restore_map() of files (file_id, content, language), which are parsed here."""
+    from . import parse
+
+    return restore_map(chunk_rows, parse.parse_symbols(files).withColumn("file_path", F.lit("")), plain_names)
+
+
 def restore_symbol(symbols: DataFrame, key: str) -> DataFrame:
     """(full_source) of the last symbol with that "file path:name"."""
     hit = symbols.filter(F.concat_ws(":", F.coalesce("file_path", F.lit("")), F.col("name")) == key)

@@ -381,37 +381,31 @@ c AS (SELECT id, sum(w * q) AS dot FROM w JOIN q USING (term) GROUP BY id), l AS
 )
 def tfidf_score_prompt(spark, d):
     docs = table(spark, d, D).select(F.col("doc_id").alias("id"))
-    tf = doc_terms(spark, d)
+    tf = cut(doc_terms(spark, d))
     idfs = semantic.idf(tf, docs.count())
     return semantic.scores(docs, semantic.weights(tf, idfs), idfs, ASK).select("id", F.round("score", 6).alias("score"))
 
 
-_BT = _TERMS.replace("doc_id AS id", "item_id AS id").replace("documents", "benchmark") + _IDF.replace("documents", "benchmark")
-
-
 @query(
-    _BT + """, w AS (SELECT id, term, tf * idf AS w FROM tf JOIN i USING (term)), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY id), p AS (SELECT a.id, b.id AS other, sum(a.w * b.w) / any_value(x.l * y.l) AS score FROM w a JOIN w b USING (term) JOIN l x ON x.id = a.id JOIN l y ON y.id = b.id WHERE a.id <> b.id GROUP BY a.id, b.id)
+    _TERMS + _IDF + """, w AS (SELECT id, term, tf * idf AS w FROM tf JOIN i USING (term)), l AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY id), p AS (SELECT a.id, b.id AS other, sum(a.w * b.w) / any_value(x.l * y.l) AS score FROM w a JOIN w b USING (term) JOIN l x ON x.id = a.id JOIN l y ON y.id = b.id WHERE a.id <> b.id AND a.id % 100 = 0 GROUP BY a.id, b.id)
 SELECT id, other, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other)::INT AS rank FROM p) WHERE rank <= 5 AND score > 0"""
 )
 def tfidf_related_topn(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    tf = semantic.term_counts(items)
-    return semantic.related(semantic.weights(tf, semantic.idf(tf, items.count()))).select("id", "other", F.round("score", 6).alias("score"), "rank")
+    """The query set is every document whose id is divisible by 100, against all documents."""
+    docs = table(spark, d, D).select(F.col("doc_id").alias("id"), "text")
+    tf = cut(semantic.term_counts(docs))
+    w = semantic.weights(tf, semantic.idf(tf, docs.count()))
+    return semantic.related(w, 5, docs.filter("id % 100 = 0")).select("id", "other", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
-    """WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
-SELECT id, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INT AS rank FROM p) WHERE rank <= 3"""
+    """WITH p AS (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
+SELECT id, other, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)::INT AS rank FROM p) WHERE rank <= 3"""
 )
 def cosine_embeddings_topn(spark, d):
-    e = table(spark, d, "embeddings")
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    a = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("u"), size.alias("nu"))
-    b = a.toDF("other", "v", "nv")
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    p = a.join(b, F.col("id") != F.col("other")).select("id", "other", F.round(dot / (F.col("nu") * F.col("nv")), 6).alias("score"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return p.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+    """The query set is every vector whose id is divisible by 100, against all vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
+    return semantic.nearest(e, e.filter("id % 100 = 0"), 3).select("id", "other", F.round("score", 6).alias("score"), "rank")
 
 
 # --- graphs

@@ -12,6 +12,7 @@ from ..functions import profiles
 from ..functions.text import tokens, units
 from ..operators import codebase, graph, parse, ranking, serialize
 from ..sources import files as sources
+from ..sources.shared import numbered
 
 
 @dataclass(frozen=True)
@@ -39,10 +40,10 @@ def _requests(files: DataFrame, o: Options) -> DataFrame:
 
 def optimize(files: DataFrame, o: Options = Options()) -> DataFrame:
     """files (file_id, content, language) -> a row each: code, tokens before and after, savings, names, coverage. Without use_graph neither graph
-    nor minification is applied, and only the emitted form is compact."""
+    nor minification is applied, only the emitted form is compact, and a blank text costs nothing and counts as complete. Each file's strategy decides its own form, whatever other files there are."""
     files = files.withColumn("file_id", F.col("file_id").cast("string"))
     plan = _requests(files, o).select("file_id", "chosen", "body_threshold", "minify", "budget", "depth")
-    minified = any(r.minify for r in plan.select("minify").distinct().collect())
+    plan = plan.withColumn("mode", F.lit("maximal") if o.maximal else F.when(F.col("minify"), "minify").otherwise("standard"))
     symbols = parse.with_defaults(parse.parse_symbols(files))
     if o.use_graph:
         symbols = parse.attach_imports(symbols, parse.imports_of(files), files)
@@ -53,29 +54,29 @@ def optimize(files: DataFrame, o: Options = Options()) -> DataFrame:
         symbols = symbols.withColumns({"page_rank": F.lit(0.0), "import_statements": F.array().cast("array<string>")})
     ranked = ranking.rank(symbols.join(plan, "file_id"), F.col("body_threshold"), o.prompt, F.col("page_rank"))
     filled = ranking.fill(ranked, F.col("budget"))
-    mode = "maximal" if o.maximal else "minify" if minified else "standard"
     imports = filled.filter("form != 'excluded'").groupBy("file_id").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("position", "import_statements"))), lambda e: e["import_statements"]))).alias("imports"))
-    head = files.select("file_id", F.lit(o.task).alias("task"), F.lit(o.strategy).alias("strategy"), "content", "language").join(imports, "file_id", "left")
+    head = files.select("file_id", F.lit(o.task).alias("task"), F.lit(o.strategy).alias("strategy"), "content", "language").join(plan.select("file_id", "mode"), "file_id").join(imports, "file_id", "left")
     if not o.include_imports:
         head = head.withColumn("imports", F.lit(None).cast("array<string>"))
-    chunk_rows = serialize.chunks(filled, mode, name_only=o.strategy == "aggressive")
-    out = serialize.code_of(chunk_rows, head, mode).join(head.select("file_id", "content"), "file_id")
+    chunk_rows = serialize.chunks(filled, F.col("mode"), name_only=o.strategy == "aggressive")
+    out = serialize.code_of(chunk_rows, head, F.col("mode")).join(head.select("file_id", "content", "mode"), "file_id")
     code = F.col("code")
-    if minified and o.use_graph and not o.maximal:
-        code = C.compress(code, C.Options(minify=True))
+    if o.use_graph and not o.maximal:
+        code = F.when(F.col("mode") == "minify", C.compress(code, C.Options(minify=True))).otherwise(code)
+    blank = F.lit(False) if o.use_graph else F.length(C.trim(F.coalesce("content", F.lit("")))) == 0
     took = filled.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("total_symbols"), F.count(F.when(F.col("form") != "excluded", 1)).alias("included"), F.sum("rank").alias("all_rank"), F.sum(F.when(F.col("form") != "excluded", F.col("rank"))).alias("kept_rank"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("form") != "excluded", F.struct("position", "name")))), lambda e: e["name"]).alias("included_symbols"),
         F.transform(F.sort_array(F.collect_list(F.when(F.col("form") == "excluded", F.struct("position", "name")))), lambda e: e["name"]).alias("excluded_symbols"),
     )
-    df = out.join(took, "file_id", "left").withColumn("code", code).withColumns({"original_tokens": tokens(F.col("content")), "optimized_tokens": tokens(F.col("code"))})
+    df = out.join(took, "file_id", "left").withColumn("code", code).withColumns({"original_tokens": F.when(blank, F.lit(0).cast("long")).otherwise(tokens(F.col("content"))), "optimized_tokens": tokens(F.col("code"))})
     df = df.withColumns(serialize.metrics(F.col("original_tokens"), F.col("optimized_tokens")))
     share = lambda a, b: F.when(b > 0, F.floor(a / b * 100 + 0.5)).otherwise(F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
     return df.select(
         "file_id", "code", "original_tokens", "optimized_tokens", "reduction_tokens", "reduction_percent", "compression_ratio", F.coalesce("total_symbols", F.lit(0)).alias("total_symbols"),
         F.coalesce("included_symbols", none).alias("included_symbols"), F.coalesce("excluded_symbols", none).alias("excluded_symbols"),
-        F.coalesce(share(F.col("included"), F.col("total_symbols")), F.lit(0)).alias("completeness"), F.coalesce(share(F.col("kept_rank"), F.col("all_rank")), F.lit(0)).alias("semantic_coverage"),
+        *[F.when(blank, F.lit(100)).otherwise(F.coalesce(share(F.col(a), F.col(b)), F.lit(0))).cast("long").alias(n) for n, a, b in (("completeness", "included", "total_symbols"), ("semantic_coverage", "kept_rank", "all_rank"))],
     )
 
 
@@ -139,20 +140,20 @@ def extract_diff(pairs: DataFrame, strategy: str = "semantic", task: str = "gene
     return df.withColumns(serialize.metrics(F.col("original_tokens"), F.col("optimized_tokens")))
 
 
-def analyze_codebase(files: DataFrame) -> dict[str, DataFrame]:
-    """symbols with page_rank, edges (with imports added after ranking), entries, languages, totals of a table of files."""
+def analyze_codebase(files: DataFrame, manifest: DataFrame | None = None) -> dict[str, DataFrame]:
+    """symbols with page_rank, edges (with imports added after ranking), degrees over all of these, entries, languages, totals of a table of files. manifest: see sources.manifest."""
     f = files.withColumn("file_id", F.col("relative_path"))
     symbols = graph.cut(parse.parse_symbols(f).withColumn("file_path", F.col("file_id")).withColumn("in_file", F.col("ordinal")))
-    order = F.row_number().over(sources.Window.partitionBy(F.lit(1)).orderBy("file_path", "in_file")) - 1
-    symbols = graph.cut(symbols.withColumn("ordinal", order))
+    symbols = graph.cut(numbered(symbols, "ordinal", "file_path", "in_file"))
     edges = graph.cut(graph.all_edges(symbols))
     ranked = symbols.join(graph.page_rank(symbols, edges), "id")
+    linked = graph.cut(graph.add_imports(edges, codebase.import_links(f, symbols)))
     return {
-        "symbols": ranked, "edges": graph.add_imports(edges, codebase.import_links(f, symbols)), "entries": sources.entry_points(files),
+        "symbols": ranked, "edges": linked, "degrees": graph.degrees(symbols, linked), "entries": sources.entry_points(files, manifest),
         "languages": sources.languages(files), "totals": sources.totals(files),
     }
 
 
-def codebase_context(files: DataFrame, prompt: str, target_tokens: int = 8000) -> DataFrame:
-    a = analyze_codebase(files)
+def codebase_context(files: DataFrame, prompt: str, target_tokens: int = 8000, manifest: DataFrame | None = None) -> DataFrame:
+    a = analyze_codebase(files, manifest)
     return codebase.prompt_context(a["symbols"], prompt, target_tokens, a["entries"], (files.count(), a["symbols"].count()))

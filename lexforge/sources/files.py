@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def not_skipped(relative: Column) -> Column:
     return ~relative.rlike(f"(^|/)({'|'.join(SKIPPED)})/") & ~relative.rlike("(^|/)\\.[^/]*/")
 
 
-def scan(spark: SparkSession, root: str, include: Iterable[str] | None = None, max_file_size: int = 1 << 20, max_files: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, include: Iterable[str] | None = None, max_file_size: int = 1_000_000, max_files: int | None = None) -> DataFrame:
     """Text files below root. Name and size are tested before contents are read; malformed bytes become U+FFFD."""
     base = root.rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -49,12 +50,27 @@ def one_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.lit(path).alias("relative_path"), language_of(F.lit(path)).alias("language"), F.col("value").alias("content"), F.octet_length("value").cast("long").alias("size"))
 
 
-def entry_points(files: DataFrame) -> DataFrame:
-    """(ord, entry): paths that a manifest names, if there is such a file, then common ones, if a file has that path or ends in it after a slash."""
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(content) of the manifest in that folder, whatever scan() keeps; no row without one."""
+    try:
+        return spark.read.text(f"{root.rstrip('/')}/package.json", wholetext=True).select(F.col("value").alias("content"))
+    except AnalysisException:  # there is no such file
+        return spark.createDataFrame([], "content string")
+
+
+def entry_points(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """(ord, entry): files that the manifest's main and module name, then common ones, if a file has that path or ends in it after a slash. A manifest with an
+    `exports` entry, or one that isn't JSON, names none."""
     spark = files.sparkSession
-    manifest = files.filter(F.col("relative_path") == "package.json").select(F.explode(F.array(*[F.struct(F.lit(i - 10).alias("ord"), F.regexp_replace(F.get_json_object("content", f"$.{k}"), "^\\./", "").alias("entry")) for i, k in enumerate(("main", "module"))])).alias("e")).select("e.*").filter("entry is not null")
+    if manifest is None:
+        manifest = files.filter(F.col("relative_path") == "package.json").select("content")
+    keys = [F.struct(F.lit(i - 10).alias("ord"), F.get_json_object("content", f"$.{k}").alias("entry")) for i, k in enumerate(("main", "module"))]
+    named = manifest.filter(F.get_json_object("content", "$.exports").isNull()).select(F.explode(F.array(*keys)).alias("e")).select("e.*").filter("entry is not null")
+    parts = F.filter(F.split("entry", "/"), lambda p: ~p.isin("", "."))
+    back = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == "..") & (F.size(a) > 0) & (F.element_at(a, -1) != ".."), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.concat(a, F.array(p))))
+    named = named.select("ord", F.array_join(back, "/").alias("entry"))
     common = spark.createDataFrame(list(enumerate(ENTRY_PATHS)), "ord int, entry string")
-    both = manifest.unionByName(common)
+    both = named.unionByName(common)
     paths = files.select("relative_path").distinct()
     hit = (F.col("relative_path") == F.col("entry")) | ((F.col("ord") >= 0) & F.col("relative_path").endswith(F.concat(F.lit("/"), F.col("entry"))))
     return both.join(paths, hit, "left_semi").orderBy("ord")
