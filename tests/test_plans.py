@@ -34,6 +34,21 @@ def test_graph_and_minification(spark):
     assert r.completeness == 100 and "\n" not in r.code and "//" not in r.code
 
 
+def test_a_batch_is_like_its_files(spark):
+    """Large and small files take different strategies; neither changes the other."""
+    codes = [many(400), many(2), "function main() {\n  return 1;\n}\n"]
+    o = P.Options(model="gpt-4", task="bug-fix", strategy="adaptive")
+    whole = {r.file_id: r.asDict() for r in P.optimize_sync(files(spark, *codes), o).collect()}
+    for i, c in enumerate(codes[:2]):
+        assert {**P.optimize_sync(files(spark, c), o).first().asDict(), "file_id": str(i)} == whole[str(i)]
+    assert whole["1"]["code"].startswith("// Optimized for") != whole["0"]["code"].startswith("// Optimized for")
+
+
+def test_blank_input(spark):
+    r = P.optimize_sync(files(spark, "", " \n\t ")).collect()
+    assert [(x.code, x.original_tokens, x.optimized_tokens, x.completeness, x.semantic_coverage, x.compression_ratio) for x in r] == [("", 0, 0, 100, 100, 1.0)] * 2
+
+
 def test_diff(spark):
     old = "function old() { return 1; }\nfunction stable() { return 2; }\nfunction helper() { return 3; }"
     new = "function old() { return 9; }\nfunction stable() { return 2; }\nfunction newFunc() { return 4; }"
@@ -72,6 +87,19 @@ def test_code_base(spark, tree):
     assert r.token_count <= 400
 
 
+def test_manifest(spark, tmp_path):
+    for p in ("lib/core.ts", "src/index.ts", "other.ts"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text("export const a = 1;\n")
+    f = S.scan(spark, str(tmp_path))
+    named = lambda: [r.entry for r in S.entry_points(f, S.manifest(spark, str(tmp_path))).collect()]
+    assert named() == ["src/index.ts", "index.ts"]
+    for text, want in (('{"main": "./lib/../lib/core.ts", "module": "no.ts"}', ["lib/core.ts"]), ('{"main": "lib/core.ts", "exports": {}}', []), ("{", []), ('{"module": "other.ts"}', ["other.ts"])):
+        (tmp_path / "package.json").write_text(text)
+        assert named() == [*want, "src/index.ts", "index.ts"], text
+    assert "lib/core.ts" not in [r.entry for r in P.analyze_codebase(f, S.manifest(spark, str(tmp_path)))["entries"].collect()] and "other.ts" in [r.entry for r in P.analyze_codebase(f, S.manifest(spark, str(tmp_path)))["entries"].collect()]
+
+
 def test_missing_root(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         S.scan(spark, "/no/such/folder").collect()
