@@ -140,19 +140,34 @@ def codebase_totals(spark, d):
     return sources.totals(table(spark, d, D).withColumn("content", F.col("text")))
 
 
-@query(f"SELECT page_id, {_LANG % 'url'} AS language FROM pages")
+_ENDS = ["ts", "py", "go", "rs", "java", "js", "cpp", "rb", "tsx", "h", "PY", "unknown", "c.swift", "kt", "php", "cs"]
+
+
+@query(f"""SELECT page_id, {_LANG % 'path'} AS language FROM (SELECT page_id, url || '.' || [{", ".join(f"'{e}'" for e in _ENDS)}][page_id % {len(_ENDS)} + 1] AS path FROM pages)""")
 def detect_language_paths(spark, d):
-    return table(spark, d, "pages").select("page_id", P.language_of(F.col("url")).alias("language"))
+    """URLs with an extension each."""
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % len(_ENDS) + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", P.language_of(F.concat("url", F.lit("."), end)).alias("language"))
+
+
+#: A page as code: a line comment, blank lines, a block comment, a literal that looks like a comment, a log and the page itself.
+_AS_CODE = ["// head of ", None, "\n\n  \n/* block\n * of\n\tlines */\nlet url = '", "url", "';  // tail  \nconsole.log(url);\t\t\n", "html"]
+_PAGE = " || ".join("page_id::VARCHAR" if x is None else x if x in ("url", "html") else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for x in _AS_CODE)
+PAGES_AS_CODE = f"(SELECT page_id, {_PAGE} AS code FROM pages)"
+
+
+def pages_as_code(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.concat(*[F.col("page_id").cast("string") if x is None else F.col(x) if x in ("url", "html") else F.lit(x) for x in _AS_CODE]).alias("code"))
 
 
 @query(
-    """WITH l AS (SELECT page_id, trim(unnest(string_split(html, chr(10))), ' ' || chr(9) || chr(13)) AS l FROM pages)
+    f"""WITH l AS (SELECT page_id, trim(unnest(string_split(code, chr(10))), ' ' || chr(9) || chr(13)) AS l FROM {PAGES_AS_CODE})
 SELECT page_id, count(*) FILTER (l = '') AS blank, count(*) FILTER (l LIKE '//%' OR l LIKE '*%' OR l LIKE '/*%') AS comment, count(*) FILTER (NOT (l = '' OR l LIKE '//%' OR l LIKE '*%' OR l LIKE '/*%')) AS code FROM l GROUP BY page_id"""
 )
 def line_class_stats(spark, d):
     line = F.trim(F.col("line"), F.lit(" \t\r"))
     kind = F.when(line == "", "blank").when(line.startswith("//") | line.startswith("*") | line.startswith("/*"), "comment").otherwise("code")
-    rows = table(spark, d, "pages").select("page_id", F.explode(F.split("html", "\n")).alias("line")).withColumn("kind", kind)
+    rows = pages_as_code(spark, d).select("page_id", F.explode(F.split("code", "\n")).alias("line")).withColumn("kind", kind)
     return rows.groupBy("page_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("blank", "comment", "code")])
 
 
@@ -173,9 +188,9 @@ def compress_whitespace(spark, d):
     return table(spark, d, "pages").select("page_id", C.collapse_whitespace(C.remove_blank_lines(x)).alias("code"))
 
 
-@query("SELECT page_id, " + rx_(rx_(rx_("html", f"//{_LINE}*"), "/\\*(?s:.*?)\\*/"), f"(?m)[{_NOSP}]+$") + " AS code FROM pages")
+@query("SELECT page_id, " + rx_(rx_(rx_("code", f"//{_LINE}*"), "/\\*(?s:.*?)\\*/"), f"(?m)[{_NOSP}]+$") + f" AS code FROM {PAGES_AS_CODE}")
 def compress_comments(spark, d):
-    return table(spark, d, "pages").select("page_id", C.remove_comments(F.col("html")).alias("code"))
+    return pages_as_code(spark, d).select("page_id", C.remove_comments(F.col("code")).alias("code"))
 
 
 _MIN = rx_("html", f"[{SP}]+", " ")
@@ -198,17 +213,28 @@ def remove_debug(spark, d):
     return table(spark, d, "pages").select("page_id", C.remove_debug(C.remove_console(x)).alias("code"))
 
 
-@query()
+_LIT = T.LITERAL.replace("'", "''")
+_MARKED = "array_to_string(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN i = 1 THEN parts[1] ELSE chr(1) || 'STR' || (i - 2) || chr(1) || parts[i] END), '')"
+_BARE = rx_(rx_(rx_(rx_(rx_("marked", f"//{_LINE}*"), "/\\*(?s:.*?)\\*/"), f"(?m)[{_NOSP}]+$"), f"(?m)^[{SP}]*[\\r\\n]"), "[ \\t]{2,}", " ")
+_FULL = f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '#!/usr/bin/env x' || chr(10) ELSE '' END || code AS x FROM {PAGES_AS_CODE}),
+b AS (SELECT *, regexp_extract_all(x, '{_LIT}') AS lits, regexp_split_to_array(x, '{_LIT}') AS parts FROM a), c AS (SELECT *, {_MARKED} AS marked FROM b),
+e AS (SELECT *, {_BARE} AS bare FROM c), f AS (SELECT *, regexp_replace(list_reduce(list_prepend(bare, list_transform(range(1, len(lits) + 1), lambda i: i::VARCHAR)), lambda acc, i: replace(acc, chr(1) || 'STR' || (i::INT - 1) || chr(1), lits[i::INT])), '^[{SP}]+|[{SP}]+$', '', 'g') AS body FROM e),
+g AS (SELECT *, CASE WHEN x LIKE '#!%' THEN regexp_extract(x, '^[^\\n]*\\n') ELSE '' END || body AS code FROM f)
+SELECT page_id, code, {u_('x')}::BIGINT AS original_size, {u_('code')}::BIGINT AS compressed_size, {u_('x')} / {u_('code')}::DOUBLE AS ratio FROM g"""
+
+
+@query(_FULL)
 def compress_full(spark, d):
-    return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in C.compress_full(F.col("html")).items() if n != "removed"])
+    x = F.concat(F.when(F.col("page_id") % 2 == 0, "#!/usr/bin/env x\n").otherwise(""), F.col("code"))
+    return pages_as_code(spark, d).select("page_id", *[c.alias(n) for n, c in C.compress_full(x).items() if n != "removed"])
 
 
 @query(
-    f"""WITH c AS (SELECT page_id, len(regexp_extract_all(html, '//{_LINE}*')) + len(regexp_extract_all(html, '/\\*(?s:.*?)\\*/')) AS comment, len(list_filter(string_split(html, chr(10)), lambda r: NOT regexp_matches(r, '[^{SP}]'))) AS blank FROM pages),
+    f"""WITH c AS (SELECT page_id, len(regexp_extract_all(code, '//{_LINE}*')) + len(regexp_extract_all(code, '/\\*(?s:.*?)\\*/')) AS comment, len(list_filter(string_split(code, chr(10)), lambda r: NOT regexp_matches(r, '[^{SP}]'))) AS blank FROM {PAGES_AS_CODE}),
 e AS (SELECT page_id, 'comment' AS type, comment AS n FROM c UNION ALL SELECT page_id, 'blankLine', blank FROM c) SELECT page_id, type, n::BIGINT AS count, (3 * n)::BIGINT AS tokens_saved FROM e WHERE n > 0"""
 )
 def estimate_compression(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(C.estimate(F.col("html"))).alias("e")).select("page_id", "e.*")
+    return pages_as_code(spark, d).select("page_id", F.explode(C.estimate(F.col("code"))).alias("e")).select("page_id", "e.*")
 
 
 # --- symbols
@@ -441,13 +467,13 @@ def trade(spark, d) -> tuple[DataFrame, DataFrame]:
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
     pairs = li.join(o, F.expr("l_orderkey = o_orderkey")).join(c, F.expr("o_custkey = c_custkey")).join(s, F.expr("l_suppkey = s_suppkey")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter("src != dst")
     mean = pairs.agg(F.avg("n").alias("mean"))
-    edges = pairs.crossJoin(F.broadcast(mean)).filter("n > mean * 1.5").select("src", "dst", F.lit("call").alias("type"), F.lit(1.0).alias("weight"), (F.col("src") * 100 + F.col("dst")).alias("ordinal"))
+    edges = pairs.crossJoin(F.broadcast(mean)).filter("n > mean * 1.5").select("src", "dst", F.lit("call").alias("type"), F.when(F.col("n") > F.col("mean") * 1.8, 2.0).otherwise(1.0).alias("weight"), (F.col("src") * 100 + F.col("dst")).alias("ordinal"))
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ordinal"), (F.col("n_regionkey") == 0).alias("is_exported"))
     return nodes, cut(edges)
 
 
 _TR = """WITH RECURSIVE pairs AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
-e AS MATERIALIZED (SELECT src, dst FROM pairs WHERE n > (SELECT avg(n) FROM pairs) * 1.5), v AS (SELECT n_nationkey AS id FROM nation)"""
+e AS MATERIALIZED (SELECT src, dst, CASE WHEN n > (SELECT avg(n) FROM pairs) * 1.8 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, src * 100 + dst AS eo FROM pairs WHERE n > (SELECT avg(n) FROM pairs) * 1.5), v AS (SELECT n_nationkey AS id FROM nation)"""
 
 
 def _rounds(k: int) -> str:
@@ -455,7 +481,7 @@ def _rounds(k: int) -> str:
     out = [f"o AS (SELECT src, count(*) AS outs FROM e GROUP BY src), p0 AS (SELECT id, 1.0::DOUBLE / {n} AS pr FROM v)"]
     for i in range(1, k + 1):
         out.append(
-            f"p{i} AS MATERIALIZED (SELECT v.id, {1 - d:.2f}::DOUBLE / {n} + {d}::DOUBLE * (coalesce(any_value(g.got), 0) + (SELECT coalesce(sum(pr), 0) FROM p{i - 1} WHERE id NOT IN (SELECT src FROM e)) / {n}) AS pr FROM v LEFT JOIN (SELECT dst, sum(pr / outs) AS got FROM e JOIN o USING (src) JOIN p{i - 1} ON id = src GROUP BY dst) g ON g.dst = v.id GROUP BY v.id)"
+            f"p{i} AS MATERIALIZED (SELECT v.id, {1 - d:.2f}::DOUBLE / {n} + {d}::DOUBLE * (coalesce(any_value(g.got), 0) + (SELECT coalesce(sum(pr), 0) FROM p{i - 1} WHERE id NOT IN (SELECT src FROM e)) / {n}) AS pr FROM v LEFT JOIN (SELECT dst, sum(pr * w / outs) AS got FROM e JOIN o USING (src) JOIN p{i - 1} ON id = src GROUP BY dst) g ON g.dst = v.id GROUP BY v.id)"
         )
     return ", ".join(out)
 
@@ -481,29 +507,50 @@ def bfs_depth(spark, d):
     return G.depths(nodes, edges, nodes.filter("name = 'NATION_0'"))
 
 
-@query()
+def _breadth(k: int) -> str:
+    """Levels of a breadth-first search from NATION_0: (id, path, total, pos), each node at its first level and by the first way to it."""
+    out = ["b AS MATERIALIZED (SELECT src, dst, w, eo FROM e UNION ALL SELECT dst, src, w, eo FROM e)", "f0 AS MATERIALIZED (SELECT n_nationkey AS id, [n_name] AS path, 0.0::DOUBLE AS total, n_nationkey::BIGINT AS pos FROM nation WHERE n_name = 'NATION_0')"]
+    for i in range(1, k + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM f{j}" for j in range(i))
+        out.append(
+            f"f{i} AS MATERIALIZED (SELECT id, path, total, row_number() OVER (ORDER BY pos, eo) AS pos FROM (SELECT b.dst AS id, list_append(f.path, n_name) AS path, f.total + b.w AS total, f.pos, b.eo FROM f{i - 1} f JOIN b ON b.src = f.id JOIN nation ON n_nationkey = b.dst WHERE b.dst NOT IN ({seen}) QUALIFY row_number() OVER (PARTITION BY b.dst ORDER BY f.pos, b.eo) = 1))"
+        )
+    return ", ".join(out)
+
+
+_ALL_LEVELS = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(13))
+
+
+@query(f"{_TR}, {_breadth(12)} SELECT path, total AS total_weight, (len(path) - 1)::INT AS depth FROM ({_ALL_LEVELS}) WHERE id IN (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_9')")
 def shortest_path(spark, d):
     nodes, edges = trade(spark, d)
     return G.shortest_paths(nodes, edges, "NATION_0", "NATION_9")
 
 
-@query()
+def _hot(k: int) -> str:
+    out = [f"h0 AS MATERIALIZED (SELECT id, [id] AS ids FROM p{G.ROUNDS} ORDER BY pr DESC, id LIMIT 1)"]
+    out += [f"h{i} AS MATERIALIZED (SELECT dst AS id, list_append(ids, dst) AS ids FROM e JOIN h{i - 1} ON src = id WHERE NOT list_contains(ids, dst) ORDER BY w DESC, eo LIMIT 1)" for i in range(1, k + 1)]
+    return ", ".join(out)
+
+
+@query(f"{_TR}, {_rounds(G.ROUNDS)}, {_hot(20)} SELECT step::BIGINT AS step, n_name AS name FROM (" + " UNION ALL ".join(f"SELECT {i} AS step, id FROM h{i}" for i in range(21)) + ") JOIN nation ON n_nationkey = id")
 def hot_path(spark, d):
     nodes, edges = trade(spark, d)
     names = G.hot_path(nodes.join(G.page_rank(nodes, edges), "id"), edges)
-    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "step int, name string")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "step long, name string")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def orphans(spark, d):
+    """Customers without an order of more than 400,000."""
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return G.orphans(nodes, table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey")).alias("dst")))
+    return G.orphans(nodes, table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey")).alias("dst")))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def entry_candidates(spark, d):
     nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("is_exported"))
-    return G.entry_candidates(nodes, table(spark, d, "orders").select(F.col("o_custkey").alias("dst"))).select("id")
+    return G.entry_candidates(nodes, table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("dst"))).select("id")
 
 
 @query(f"{_TR}, {_REACH}, m AS (SELECT id, min(k) AS label FROM r GROUP BY id) SELECT (SELECT count(*) FROM v) AS total_nodes, (SELECT count(DISTINCT label) FROM m) AS clusters, count(*) AS total_edges, count(*) AS call_edges, 0::BIGINT AS inheritance_edges FROM e")
@@ -585,29 +632,113 @@ def restore_lookup(spark, d):
     return serialize.restore_map(doc_chunks(spark, d), doc_symbols(spark, d), plain_names=True).select("file_id", "position", "chunk_id", "token_count", "original_tokens")
 
 
-@query()
+_FIGURES = ["tokens", "characters", "words", "lines", "code_tokens", "comment_tokens", "string_tokens", "whitespace_tokens"]
+
+
+@query("SELECT doc_id, to_json({" + ", ".join(f"'{k}': {k}" for k in _FIGURES) + "})::VARCHAR AS json FROM (" + ORACLE_SQL["token_breakdown"] + ")")
 def mcp_count_tokens_json(spark, d):
     return table(spark, d, D).select("doc_id", F.to_json(F.struct(*[c.alias(n) for n, c in T.breakdown(F.col("text")).items()])).alias("json"))
 
 
+# --- parsing of several languages
+
+#: Code in which {i} stands for a document, and what is in it: name, type, source, signature, visibility, exported, async, generator.
+SAMPLES = {
+    "python": (
+        'class A{i}(Base):\n    """doc"""\n    def go(self, x):\n        return x\n\nasync def f{i}(a, b) -> int:\n    return a\n\nx = 1\ndef last{i}(c):\n    return c',
+        [
+            ("A{i}", "class", 'class A{i}(Base):\n    """doc"""\n    def go(self, x):\n        return x\n', "class A{i}(Base);", "public", False, False, False),
+            ("A{i}", "interface", "class A{i}", "class A{i};", "public", False, False, False),
+            ("go", "function", "def go(self, x):\n        return x\n", "def go(self, x);", "public", False, False, False),
+            ("f{i}", "function", "async def f{i}(a, b) -> int:\n    return a\n", "async def f{i}(a, b) -> int;", "public", False, True, False),
+            ("last{i}", "function", "def last{i}(c):\n    return c", "def last{i}(c);", "public", False, False, False),
+        ],
+    ),
+    "go": (
+        "package p{i}\ntype S{i} struct {\n\tA int\n}\ntype R{i} interface {\n\tGo() error\n}\nfunc (s *S{i}) Run{i}(a int) error {\n\treturn nil\n}\nfunc NewS{i}(a int) *S{i} {\n\treturn nil\n}\n",
+        [
+            ("S{i}", "class", "type S{i} struct {\n\tA int\n}", "type S{i} struct { ... }", "public", False, False, False),
+            ("R{i}", "interface", "type R{i} interface {\n\tGo() error\n}", "type R{i} interface { ... }", "public", False, False, False),
+            ("Run{i}", "function", "func (s *S{i}) Run{i}(a int) error {\n\treturn nil\n}", "func (s *S{i}) Run{i}(a int) error { ... }", "public", False, False, True),
+            ("anonymous", "constructor", "func NewS{i}(a int) *S{i} {\n\treturn nil\n}", "func NewS{i}(a int);", "public", False, False, False),
+            ("anonymous", "module", "package p{i}\ntype S{i} struct {\n\tA int\n}", "package p{i};", "public", False, False, False),
+        ],
+    ),
+    "rust": (
+        "pub struct S{i} { a: i32 }\npub trait T{i} { fn go(&self); }\nimpl S{i} {\n    pub async fn run{i}(&self) -> i32 {\n        1\n    }\n}\npub enum E{i} { A }\nmod m{i} { }\n",
+        [
+            ("S{i}", "class", "pub struct S{i} { a: i32 }", "pub struct S{i} { ... }", "public", True, False, False),
+            ("T{i}", "interface", "pub trait T{i} { fn go(&self); }", "pub trait T{i} { ... }", "public", True, False, False),
+            ("run{i}", "function", "pub async fn run{i}(&self) -> i32 {\n        1\n    }", "pub async fn run{i}(&self) -> i32 { ... }", "public", True, True, False),
+            ("E{i}", "enum", "pub enum E{i} { A }", "pub enum E{i} { ... }", "public", True, False, False),
+            ("m{i}", "module", "mod m{i} {", "mod m{i} { ... }", "public", False, False, False),
+        ],
+    ),
+    "javascript": (
+        "export class C{i} extends B {\n  run{i}(a) { return 1; }\n}\nexport async function f{i}(a) {\n  return a;\n}\nlet z = 1;\n",
+        [
+            ("C{i}", "class", "export class C{i} extends B {\n  run{i}(a) { return 1; }\n}", "export class C{i} extends B { ... }", "public", True, False, False),
+            ("f{i}", "function", "export async function f{i}(a) {", "export async function f{i}(a) { ... }", "public", True, True, False),
+            ("run{i}", "method", "run{i}(a) { return 1; }", "run{i}(a) { ... }", "public", False, False, False),
+        ],
+    ),
+}
+
+
+def _q(x) -> str:
+    return str(x).lower() if isinstance(x, bool) else "replace('" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "', '{i}', doc_id::VARCHAR)"
+
+
+def _samples_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT doc_id, '{language}' AS language, {_q(code)} AS code, {_q(n)} AS name, '{t}' AS type, {_q(src)} AS src, {_q(sig)} AS signature, '{v}' AS visibility, {_q(e)} AS is_exported, {_q(a)} AS is_async, {_q(g)} AS is_generator FROM documents"
+        for language, (code, found) in SAMPLES.items() for n, t, src, sig, v, e, a, g in found
+    )
+    nl = lambda x: f"(length({x}) - length(replace({x}, chr(10), '')))"
+    return f"""SELECT doc_id || ' ' || language AS file_id, name, type, (1 + {nl("left(code, a)")})::INT AS start_line, (1 + {nl("left(code, a + length(src))")})::INT AS end_line, a::INT AS start_offset, (a + length(src))::INT AS end_offset, signature, src AS full_source, visibility, is_exported, is_async, is_generator
+FROM (SELECT *, instr(code, src) - 1 AS a FROM ({rows}))"""
+
+
+@query(_samples_sql())
+def parse_languages(spark, d):
+    docs = table(spark, d, D).select(F.col("doc_id").cast("string").alias("i"))
+    each = [docs.select(F.concat("i", F.lit(f" {k}")).alias("file_id"), F.replace(F.lit(code), F.lit("{i}"), F.col("i")).alias("content"), F.lit(k).alias("language")) for k, (code, _) in SAMPLES.items()]
+    files = each[0]
+    for e in each[1:]:
+        files = files.unionByName(e)
+    names = "file_id name type start_line end_line start_offset end_offset signature full_source visibility is_exported is_async is_generator".split()
+    return parse.parse_symbols(files).select(*names)
+
+
 # --- whole pipelines
 
 
-@query()
+_ORIGINAL = _q("import d{i}, { a as b, c } from './m{i}';\nimport 'side{i}';\nexport interface I{i} { x: number }\nexport class C{i} extends B{i} implements I{i} {\n  run(a: string): void { this.x = 1; }\n}\nexport async function f{i}(a: number): number {\n  return a + {i};\n}\nexport type T{i} = string;\nexport default f{i};\nexport { g } from './g{i}';\n")
+
+
+def _result_sql(code: str, original: str, included: list[str], excluded: list[str], **more: int) -> str:
+    """What a pipeline makes of each document's script: code in which {i} stands for the document; savings are counted anew."""
+    both = f"SELECT doc_id, {original} AS original, {_q(code)} AS code FROM documents"
+    t = f"SELECT doc_id, code, ({tok_('original')})::BIGINT AS original_tokens, ({tok_('code')})::BIGINT AS optimized_tokens FROM ({both})"
+    lists = "".join(f", [{', '.join(_q(x) for x in names)}]::VARCHAR[] AS {n}" for n, names in (("included_symbols", included), ("excluded_symbols", excluded)))
+    return f"""SELECT doc_id::VARCHAR AS file_id, code, original_tokens, optimized_tokens, original_tokens - optimized_tokens AS reduction_tokens, {js_('(1.0::DOUBLE - optimized_tokens / original_tokens::DOUBLE) * 100')}::BIGINT AS reduction_percent, {js_('original_tokens / optimized_tokens::DOUBLE * 100')} / 100 AS compression_ratio{lists}{"".join(f", {v}::BIGINT AS {k}" for k, v in more.items())} FROM ({t})"""
+
+
+@query(_result_sql("import { a, c } from './m{i}'\nimport  from 'side{i}'\n\n// Optimized for general task · balanced strategy\nexport class C{i} extends B{i} implements I{i} { ... }\n\nrun(a: string): void { ... }\n\nexport interface I{i} { ... }\n\nexport async function f{i}(a: number): number { ... }\n\nexport type T{i} =;", _ORIGINAL, ["C{i}", "run", "I{i}", "f{i}", "T{i}"], [], total_symbols=5, completeness=100, semantic_coverage=100))
 def optimize_code(spark, d):
     from .optimize import Options, optimize
 
     return optimize(code_files(spark, d), Options(model="gpt-4", strategy="balanced", target_tokens=60, prompt="f class run"))
 
 
-@query()
+@query(_result_sql("// C{i}: class\nexport class C{i} extends B{i} implements I{i} { ... }\n// I{i}: interface\nexport interface I{i} { ... }\n// T{i}: typeAlias\nexport type T{i} =;\n// run: method\nrun(a: string): void { ... }", _ORIGINAL, ["C{i}", "I{i}", "T{i}", "run"], ["f{i}"], total_symbols=5, completeness=80, semantic_coverage=81))
 def optimize_code_sync(spark, d):
     from .optimize import Options, optimize_sync
 
     return optimize_sync(code_files(spark, d), Options(model="local", task="bug-fix", strategy="aggressive", target_tokens=40))
 
 
-@query()
+@query(_result_sql("// Optimized for general task · semantic strategy\nexport async function f{i}(a: number): number {\n  return b + {i};\n}", f"replace({_ORIGINAL}, 'return a', 'return b')", ["f{i}"], ["C{i}", "I{i}", "T{i}", "run"]))
 def extract_code_diff(spark, d):
     from .optimize import extract_diff
 
