@@ -6,7 +6,7 @@ as a proper prefix of another goes (anti-join); of conversations with the same t
 rendered. Shuffles: one on conv_id, one on the hashes.
 
 Defined results: null roles read as "unknown", null texts as empty; turns go by (turn, role, text), null turns first, and
-repeated turn rows count as turns; a null conv_id is a conversation like any other. Markers within texts are broken up. An empty
+repeated turn rows count as turns; a null conv_id is a conversation like any other. Markers within texts and roles are broken up; texts of any length are rendered whole. No new column meets those of the input, whatever their names. An empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -46,7 +46,7 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def chat_format(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered): one row for each conversation that isn't a prefix or copy of another."""
-    body = F.expr(f"concat('{OPEN}', role, '\\n', replace(text, '<|', '< |'), '{CLOSE}\\n')")
+    body = F.expr(f"concat('{OPEN}', replace(role, '<|', '< |'), '\\n', replace(text, '<|', '< |'), '{CLOSE}\\n')")
     return (
         maximal(turns)
         .groupBy("conv_id")
@@ -62,5 +62,5 @@ p AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) A
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 kept AS (SELECT min(conv_id) AS conv_id FROM p WHERE k = n AND pre NOT IN (SELECT pre FROM p WHERE k < n) GROUP BY pre)
 SELECT p.conv_id, count(*) AS n_turns,
-  string_agg('{OPEN}' || role || chr(10) || replace(text, '<|', '< |') || '{CLOSE}' || chr(10), '' ORDER BY k) AS rendered
+  string_agg('{OPEN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{CLOSE}' || chr(10), '' ORDER BY k) AS rendered
 FROM p JOIN kept USING (conv_id) GROUP BY p.conv_id"""

@@ -14,10 +14,12 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset (tests), a folder of this machine is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset (tests), a folder of this machine is set, if no other machine has a part."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexforge-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -25,7 +25,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -135,17 +135,18 @@ NODE = "struct<did:long,th:long>"
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of edges (a, b) but the roots, with the least node of its component. Alternates large-star and
-    small-star until all edges point to roots."""
+    small-star until all edges point to roots. Least neighbours are aggregated and joined, so that a node with very many edges is combined before it is
+    shuffled, and its join can be split."""
     edges = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    by_a = Window.partitionBy("a")
     while True:
         bad = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
         chained = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").select("a")
         if bad.union(chained).isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least(F.min("b").over(by_a), "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.filter("a != b").distinct().withColumn("m", F.min("b").over(by_a))
+        large = both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        small = cut(large.filter("a != b").distinct())
+        small = small.join(small.groupBy("a").agg(F.min("b").alias("m")), "a")
         new = small.select("a", F.col("m").alias("b")).union(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = cut(new.distinct())
 
@@ -160,16 +161,17 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root): keys (did, th) of documents that aren't kept, each with the key of the one that is."""
     spark = docs.sparkSession
     low = keyed(docs).withColumn("text", F.lower("text"))
-    same = Window.partitionBy("f1", "f2")
     key = F.struct("did", "th")
-    s = low.mapInArrow(_sketches, SKETCH_SCHEMA).select(key.alias("key"), "f1", "f2", "bands").withColumn("least", F.min("key").over(same))
-    # one pass over the sketches: copies (no bands) and the (band, key) rows of buckets that hold two or more
-    rows = s.select("key", "least", F.explode(F.expr("if(key = least, bands, array(cast(null as long)))")).alias("band"))
-    bucket = Window.partitionBy(F.coalesce("band", F.xxhash64("key")), F.col("band").isNull())
-    rows = rows.withColumn("m", F.count(F.lit(1)).over(bucket)).withColumn("least", F.when(F.col("band").isNull(), F.col("least")).otherwise(F.min("key").over(bucket)))
-    rows = cut(rows.filter("band is null or m > 1").drop("m"))
-    copies = rows.filter("band is null").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    member = rows.filter("band is not null")
+    s = cut(low.mapInArrow(_sketches, SKETCH_SCHEMA).select(key.alias("key"), "f1", "f2", "bands"))
+    # equal texts: all but the least key go; groups are aggregated before they are shuffled, and only those of two or more are joined
+    alike = cut(s.groupBy("f1", "f2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"))
+    again = s.select("key", "f1", "f2").join(maybe_broadcast(alike, alike.count(), 64), ["f1", "f2"])
+    copies = cut(again.filter("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct())
+    gone = maybe_broadcast(copies.select(F.col("a").alias("key")), copies.count(), 48)
+    # the (band, key) rows of buckets that hold two or more
+    banded = s.join(gone, "key", "left_anti").select("key", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    member = cut(banded.join(buckets, "band"))
     stars = cut(member.filter("key != least").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct())
     keys = cut(member.select("key").distinct())
     n = keys.count()
@@ -183,8 +185,8 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = components(copies.union(found))
     # buckets that still hold several components: all other pairs across them
     label = member.join(groups, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    in_band = Window.partitionBy("band")
-    mixed = label.withColumn("lo", F.min("root").over(in_band)).withColumn("hi", F.max("root").over(in_band)).filter("lo != hi")
+    several = label.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
+    mixed = label.join(several, "band")
     other = mixed.select("band", F.col("key").alias("key2"), F.col("root").alias("root2"))
     rest = mixed.join(other, "band").filter("root != root2 and key > key2").select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     more = cut(_verify(rest.join(stars, ["a", "b"], "left_anti"), texts, threshold))

@@ -152,7 +152,7 @@ class Ends:
 
     def __init__(self, n: int, low_width: int, low: bytes, high: bytes, samples: bytes):
         self.n, self.width = n, low_width
-        self.low = int.from_bytes(low, "little")
+        self.low = low
         self.high, self.samples = high, np.frombuffer(samples, "<u4")
 
     def select(self, i: int) -> int:
@@ -166,14 +166,16 @@ class Ends:
         for _ in range(left):
             word &= word - 1
         one = byte * 8 + (word & -word).bit_length() - 1
-        return (one - i) << self.width | (self.low >> (i * self.width)) & ((1 << self.width) - 1)
+        first = i * self.width
+        low = int.from_bytes(self.low[first >> 3 : (first + self.width + 7) >> 3], "little") >> (first & 7)
+        return (one - i) << self.width | low & ((1 << self.width) - 1)
 
     def all(self) -> np.ndarray:
         bits = np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little")
         ones = np.flatnonzero(bits)[: self.n] - np.arange(self.n)
         out = ones << self.width
         if self.width:
-            b = np.unpackbits(np.frombuffer(self.low.to_bytes((self.n * self.width + 7) // 8, "little"), np.uint8), bitorder="little")[: self.n * self.width]
+            b = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.width]
             out |= (b.reshape(self.n, self.width).astype(np.int64) << np.arange(self.width)).sum(axis=1)
         return out
 
@@ -238,6 +240,19 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def spans(blocks: DataFrame) -> DataFrame:
+    """(doc_id, first, n_ids): where each document's ids lie in its block, by select; the ids aren't read."""
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                ends = Ends(row["n_docs"], row["low_width"], row["low"], row["high"], row["samples"])
+                cuts = np.array([0, *(ends.select(i) for i in range(row["n_docs"]))], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(cuts[:-1]), pa.array(np.diff(cuts))], ["doc_id", "first", "n_ids"])
+
+    return blocks.drop("ids").mapInArrow(run, "doc_id long, first long, n_ids long")
+
+
 def plain_pieces(text: str) -> list[str]:
     """The pattern's pieces of one text, for comparison."""
     import regex

@@ -53,6 +53,9 @@ def test_whole_table_round_trip(spark, library):
         assert x[:-1].tolist() == library.encode_ordinary(texts[d])
     again = {r.doc_id: r.ids for r in tokens.read_tokens(tokens.token_blocks(docs)).collect()}
     assert all(again[d] == x.tolist() for d, x in got.items())
+    spans = tokens.spans(tokens.token_blocks(docs)).collect()
+    assert {r.doc_id: r.n_ids for r in spans} == {d: len(x) for d, x in got.items()}
+    assert sum(r["first"] == 0 for r in spans) == len(blocks)
 
 
 def test_elias_fano_select():
