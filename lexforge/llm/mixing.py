@@ -99,13 +99,13 @@ def triples(chunks: DataFrame) -> bytes:
 
 
 def totals(chunks: DataFrame, bits: int, parts: int, buckets: int) -> DataFrame:
-    """(chunk, ranges, blobs): how often each key of a chunk occurs in the corpus. Partitioned as the bucketed chunks are."""
+    """(chunk, blobs): how often each key of a chunk occurs in the corpus, by ascending range; ranges of which the chunk has no key are never sent. Partitioned as the bucketed chunks are."""
     spark = chunks.sparkSession
     keys, summed = _function(spark, "Keys", "array<binary>", bits, parts), _function(spark, "Totals", "array<binary>")
-    sent = chunks.select("chunk", F.posexplode(keys(F.col("data"), F.col("offsets"))).alias("part", "blob"))
+    sent = chunks.select("chunk", F.posexplode(keys(F.col("data"), F.col("offsets"))).alias("part", "blob")).filter("blob is not null")
     met = sent.groupBy("part").agg(F.collect_list(F.struct("chunk", "blob")).alias("g"))
     back = met.select("part", F.explode(F.arrays_zip(F.col("g.chunk").alias("chunk"), summed(F.col("g.blob")).alias("blob"))).alias("x"))
-    return back.select("part", "x.*").repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "blob")).alias("g")).select("chunk", F.col("g.part").alias("ranges"), F.col("g.blob").alias("blobs"))
+    return back.select("part", "x.*").repartition(buckets, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "blob"))).alias("g")).select("chunk", F.col("g.blob").alias("blobs"))
 
 
 def bits_per_byte(docs: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def bits_per_byte(docs: DataFrame) -> DataFrame:
         model = spark.sparkContext._jsc.broadcast(triples(held.table))
         score = _function(spark, "Score", "array<double>", bits, model)
         both = held.table.join(totals(held.table, bits, parts, held.buckets).hint("shuffle_hash"), "chunk")
-        each = both.select(F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("sizes").alias("n_bytes"), score(*(F.col(c) for c in ("data", "offsets", "ranges", "blobs"))).alias("bits"))).alias("x")).select("x.*")
+        each = both.select(F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("sizes").alias("n_bytes"), score(*(F.col(c) for c in ("data", "offsets", "blobs"))).alias("bits"))).alias("x")).select("x.*")
         out = cut(each)
     finally:
         held.drop()

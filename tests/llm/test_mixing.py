@@ -189,7 +189,9 @@ def test_partitions_and_ranges_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(M, "CHUNK", 600)
     monkeypatch.setattr(M, "RANGE", 500)
     many = scored(spark, rows, 3)
-    assert {k: r.bits for k, r in one.items()} == {k: r.bits for k, r in many.items()}
+    monkeypatch.setattr(M, "RANGE", 4)  # more ranges than a chunk has keys
+    sparse = scored(spark, rows, 3)
+    assert {k: r.bits for k, r in one.items()} == {k: r.bits for k, r in many.items()} == {k: r.bits for k, r in sparse.items()}
 
 
 def test_twice_is_told_from_once(spark):
