@@ -1,6 +1,9 @@
 """URL filter: models against a plain implementation, and held-out accuracy."""
 
+import itertools
 import math
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -90,3 +93,56 @@ def test_odd_rows(spark, extra):
     assert [i for i in ids if i < 100] == sorted([-1, 1, *range(40)]) and not [i for i in ids if 100 <= i < 200]
     assert U.url_filter(df.limit(0), label).collect() == []
     assert U.url_filter(df, label.limit(0)).count() == len(rows)
+
+
+def canonical(url):
+    return re.sub("[0-9]", "0", re.sub("^[a-z]+://", "", url.lower()))
+
+
+@pytest.mark.parametrize("size", [1 << 19, 60])
+def test_report_counts_every_labelled_url(spark, monkeypatch, size):
+    """Brute force over all labels: none is left out of the models, and each takes part in the bound by models without its fold."""
+    monkeypatch.setattr(U, "PACK_BYTES", size)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdeé/-.", k=rng.randint(1, 9)))
+    good = [f"https://shop{word()}.org/{word()}{i}" for i in range(90)] + ["", "HTTP://Shop.org/1", "http://shop.org/2", "both.org"]
+    bad = [f"http://win{word()}bet.net/{word()}" for _ in range(60)] + ["both.org"]
+    pages = [*good[:50], *bad[:30], "http://shopper.net/win", "zzz", "", None, "ü", "shop.org/" + "ab/c" * 5000]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    labelled = spark.createDataFrame([(u, 1) for u in good] + [(u, 0) for u in bad] + [(None, 1), ("other.org", 2), ("another.org", None)], "url string, label int")
+    got = {r.page_id: r for r in U.url_report(frame, labelled).collect()}
+
+    # Characters of the plain model are bytes here.
+    of = {1: sorted({canonical(u) for u in good}), 0: sorted({canonical(u) for u in bad})}
+    asbytes = lambda u: u.encode().decode("latin-1")
+    every = spark.createDataFrame([(u,) for u in {*of[0], *of[1]}], "u string")
+    fold = {r.u: r.f for r in every.selectExpr("u", f"pmod(xxhash64('held', u), {U.FOLDS}) f").collect()}
+    model = {(k, f): plain_model([asbytes(u) for u in of[k] if fold[u] != f]) for k in of for f in range(U.FOLDS + 1)}
+    score = lambda u, f: (plain_ll(model[1, f], asbytes(u)) - plain_ll(model[0, f], asbytes(u))) / max(1, len(u.encode()))
+    held = [(score(u, fold[u]), k) for k in of for u in of[k]]
+    bound = U.bound_of(np.round([s for s, _ in held], 8), np.array([k for _, k in held]))
+    assert len(got) == len(pages) and len({r.keep for r in got.values()}) == 2
+    for i, u in enumerate(pages):
+        want = score(canonical(u or ""), U.FOLDS)
+        assert got[i].llr == pytest.approx(want, abs=2e-6) and got[i].keep == (want >= bound), u
+
+
+def test_no_number_of_labels_is_left_out(spark):
+    good = ["".join(x) + ".org" for x in itertools.product("abcdefghijkl", repeat=4)]
+    bad, pages = [f"win{x[:2]}.net" for x in good[::144]], ["llll.org", "aaaa.org", "winab.net"]
+    labelled = spark.createDataFrame([(u, 1) for u in good] + [(u, 0) for u in bad], "url string, label int")
+    a, b = plain_model(good), plain_model(sorted(set(bad)))
+    for r in U.url_report(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), labelled).collect():
+        assert r.llr == pytest.approx((plain_ll(a, r.url) - plain_ll(b, r.url)) / len(r.url), abs=2e-6)
+        assert r.keep == (r.url in good)
+
+
+def test_cut_over_ranges_is_the_best_cut(spark):
+    rng = np.random.default_rng(2)
+    for values in (3, 40, 10_000):
+        s, y = rng.integers(0, values, 200) / 8, (rng.random(200) < 0.6).astype(int)
+        rows = spark.createDataFrame([(float(a), int(b), 1 - int(b)) for a, b in zip(s, y)], "held double, good long, bad long")
+        bound = U.best_cut(rows)
+        acc = lambda b: ((s >= b) & (y == 1)).sum() / y.sum() + ((s < b) & (y == 0)).sum() / (1 - y).sum()  # noqa: B023, E731
+        assert bound == U.bound_of(s, y) and acc(bound) >= max(acc(b) for b in [-9, *s + 1e-9]) - 1e-9
+    assert U.best_cut(rows.filter("good = 1")) == 0.0
