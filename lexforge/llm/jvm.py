@@ -1,55 +1,14 @@
-"""Functions in Java for what whole-stage expressions can't say and numpy can't do a bit at a time.
-
-The source beside this module is compiled once a Spark application, by the compiler that Spark itself uses for generated code. The classes
-go to the executors as a jar from the shared folder, so that they need no copy of this package.
-"""
+"""Functions in Java from the sources beside this module; see sources.jvm."""
 
 from __future__ import annotations
 
-import pathlib
-import uuid
-
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
-
-from .common import shared_dir
+from pathlib import Path
 
-_LOADED: dict = {}
+from pyspark.sql import SparkSession
 
-
-def _loader(spark: SparkSession, source: str):
-    """The class loader of the compiled source; the jar is with the executors."""
-    key = spark.sparkContext.applicationId, spark.sparkContext.startTime, source
-    if key not in _LOADED:
-        jvm = spark._jvm
-        compiler = jvm.org.codehaus.janino.SimpleCompiler()
-        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
-        compiler.cook((pathlib.Path(__file__).parent / source).read_text())
-        path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/functions-{uuid.uuid4().hex}.jar")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        jar = jvm.java.util.jar.JarOutputStream(fs.create(path))
-        code = compiler.getBytecodes()
-        for name in code:
-            jar.putNextEntry(jvm.java.util.zip.ZipEntry(name.replace(".", "/") + ".class"))
-            jar.write(code[name])
-            jar.closeEntry()
-        jar.close()
-        spark.sparkContext._jsc.sc().addJar(fs.makeQualified(path).toString())
-        _LOADED[key] = compiler.getClassLoader()
-    return _LOADED[key]
+from ..sources import jvm
 
 
 def function(spark: SparkSession, source: str, name: str, returns: str, *args: object):
-    """Columns -> column, by the class of that name in the source. args: ints, or what Spark's JVM side holds."""
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    values = gateway.new_array(jvm.java.lang.Object, len(args))
-    for i, a in enumerate(args):
-        values[i] = a
-    made = _loader(spark, source).loadClass(name).getConstructors()[0].newInstance(values)
-    own = f"{name.rpartition('.')[2].lower()}_{uuid.uuid4().hex}"
-    spark._jsparkSession.udf().register(own, made, jvm.org.apache.spark.sql.types.DataType.fromDDL(returns))
-
-    def call(*columns: Column) -> Column:
-        return F.call_function(own, *columns)
-
-    return call
+    """Columns -> column, by the class of that name in the source."""
+    return jvm.function(spark, Path(__file__).parent / source, name, returns, *args)
