@@ -55,3 +55,11 @@ def test_figures_are_those_of_the_patterns(spark):
 def test_null_stays_as_it_was(spark):
     r = spark.createDataFrame([(None,)], "x string").select(*[c.alias(n) for n, c in T.breakdown(F.col("x")).items()]).first()
     assert (r.tokens, r.characters, r.words, r.comment_tokens, r.string_tokens) == (1, None, None, None, None)
+
+
+def test_figures_as_json_of_a_long_literal(spark):
+    import json
+
+    x = '"' + "b" * 100_000 + '" // c'
+    r = spark.createDataFrame([(x,)], "x string").select(F.to_json(F.struct(*[c.alias(n) for n, c in T.breakdown(F.col("x")).items()])).alias("j")).first()
+    assert json.loads(r.j)["string_tokens"] == expected(x)[4] and json.loads(r.j)["comment_tokens"] == 2
