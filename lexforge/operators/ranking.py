@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.profiles import type_importance
 from ..functions.text import at_least, ceil_div, split_words, units
+from ..sources import jvm
+
+SOURCE = Path(__file__).parent / "symbols.java"
 
 #: Weights of the factors, in the order that breaks ties.
 FACTORS = (("visibility", 0.15), ("callFrequency", 0.10), ("centrality", 0.20), ("typeImportance", 0.20), ("complexity", 0.05), ("taskRelevance", 0.30))
@@ -47,28 +52,21 @@ def rank(symbols: DataFrame, threshold: Column | float, prompt: str | None = Non
     return df.withColumn("reason", reason).drop("top")
 
 
-def fill(ranked: DataFrame, budget: Column | int, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
-    """Goes through each group's symbols in rank order: takes a body, or if it doesn't fit the signature, or else skips. Gives
-    the symbols' columns with `position`, `form` (body, signature, excluded) and `left_over`. The fold is over costs only; the
-    symbols are joined again by their ordinal."""
+def filled(ranked: DataFrame, budget: Column | int, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """(by..., left_over, position, ordinal, form) as fill() finds them. Costs are sorted by group and rank and gone through once; of a group, form and ordinal alone are held."""
     keys = list(by)
     budget = F.lit(budget).cast("long") if isinstance(budget, int) else budget.cast("long")
     costs = ranked.select(
-        *keys, "ordinal", "rank", "keep_body", at_least(F.col("full_source"), 5).alias("body"), at_least(F.col("signature"), 2).alias("sig"), budget.alias("budget")
-    )
-    item = F.struct((-F.col("rank")).alias("r"), "ordinal", "keep_body", "body", "sig")
-    seen = costs.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"), F.first("budget").alias("budget"))
-    start = F.struct(F.col("budget").alias("left"), F.array().cast("array<struct<ordinal:bigint,form:string>>").alias("out"))
+        *keys, F.col("ordinal").cast("long").alias("ordinal"), "keep_body", at_least(F.col("full_source"), 5).alias("body"), at_least(F.col("signature"), 2).alias("sig"), budget.alias("budget"), (-F.col("rank")).alias("r")
+    ).repartition(*keys).sortWithinPartitions(*keys, "r", "ordinal", "keep_body", "body", "sig").drop("r")
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in costs.select(*keys).schema)
+    return jvm.over_partitions(costs, jvm.made(ranked.sparkSession, SOURCE, "lexforge.symbols.Fill", len(keys)), f"{named}, left_over long, position int, ordinal long, form string")
 
-    def step(acc, e):
-        cost = F.when(e["keep_body"], e["body"]).otherwise(e["sig"])
-        form = F.when(acc["left"] <= 0, "excluded").when(cost <= acc["left"], F.when(e["keep_body"], "body").otherwise("signature")).when(e["sig"] <= acc["left"], "signature").otherwise("excluded")
-        paid = F.when(form == "body", e["body"]).when(form == "signature", e["sig"]).otherwise(F.lit(0).cast("long"))
-        return F.struct((acc["left"] - paid).alias("left"), F.concat(acc["out"], F.array(F.struct(e["ordinal"].cast("long").alias("ordinal"), form.alias("form")))).alias("out"))
 
-    done = seen.select(*keys, F.aggregate("items", start, step).alias("acc"))
-    flat = done.select(*keys, F.col("acc.left").alias("left_over"), F.posexplode("acc.out").alias("position", "e")).select(*keys, "left_over", "position", "e.ordinal", "e.form")
-    return ranked.join(flat, [*keys, "ordinal"])
+def fill(ranked: DataFrame, budget: Column | int, by: tuple[str, ...] = ("file_id",)) -> DataFrame:
+    """Goes through each group's symbols in rank order: takes a body, or if it doesn't fit the signature, or else skips. Gives
+    the symbols' columns with `position`, `form` (body, signature, excluded) and `left_over`. The symbols are joined again by their ordinal."""
+    return ranked.join(filled(ranked, budget, by), [*by, "ordinal"])
 
 
 def context_fill(scored: DataFrame, budget: int, by: tuple[str, ...] = ("file_id",), least: int = 50) -> DataFrame:

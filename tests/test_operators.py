@@ -222,3 +222,22 @@ def test_serializer_and_budgets(spark):
     assert m[0].original_sources == [rows[0]["full_source"]] and m[0].chunk_id == "chunk:2-5"
     assert values(spark, ["x"], **serialize.metrics(F.lit(100), F.lit(40)))[0] == {"reduction_tokens": 60, "reduction_percent": 60, "compression_ratio": 2.5}
     assert values(spark, ["x"], **serialize.metrics(F.lit(8), F.lit(10)))[0]["reduction_percent"] == -25
+
+
+def test_fill_of_a_large_group_is_one_pass(spark):
+    """Against a loop; null flags and budgets included. Nothing gathers a group into a row."""
+    n = 30_000
+    rows = spark.range(n).selectExpr(
+        "id % 2 as file_id", "id as ordinal", "cast(hash(id) % 50 as double) as rank", "if(id % 11 = 0, null, id % 3 = 0) as keep_body", "repeat('b', cast(id * 7 % 900 as int)) as full_source", "repeat('s', cast(id * 5 % 120 as int)) as signature", "if(id % 2 = 0, 5000, null) as budget"
+    )
+    done = ranking.filled(rows, F.col("budget"))
+    assert "collect_list" not in done._jdf.queryExecution().toString()
+    want, left, order = {}, 5000, sorted((r for r in rows.collect() if r.file_id == 0), key=lambda r: (-r.rank, r.ordinal))
+    for k, r in enumerate(order):
+        body, sig = max(5, math.ceil(len(r.full_source) / 3.5)), max(2, math.ceil(len(r.signature) / 3.5))
+        form = "excluded" if left <= 0 else "body" if r.keep_body and body <= left else "signature" if sig <= left else "excluded"
+        left -= {"body": body, "signature": sig, "excluded": 0}[form]
+        want[r.ordinal] = k, form
+    got = done.collect()
+    assert {r.ordinal: (r.position, r.form) for r in got if r.file_id == 0} == want and {r.left_over for r in got if r.file_id == 0} == {left}
+    assert {(r.form, r.left_over) for r in got if r.file_id == 1} == {("excluded", None)} and len(got) == n
