@@ -12,6 +12,7 @@ from ..functions import profiles
 from ..functions.text import tokens, units
 from ..operators import codebase, graph, parse, ranking, serialize
 from ..sources import files as sources
+from ..sources import jvm
 from ..sources.shared import numbered
 
 
@@ -44,16 +45,15 @@ def optimize(files: DataFrame, o: Options = Options()) -> DataFrame:
     files = files.withColumn("file_id", F.col("file_id").cast("string"))
     plan = _requests(files, o).select("file_id", "chosen", "body_threshold", "minify", "budget", "depth")
     plan = plan.withColumn("mode", F.lit("maximal") if o.maximal else F.when(F.col("minify"), "minify").otherwise("standard"))
-    symbols = parse.with_defaults(parse.parse_symbols(files))
+    symbols = parse.parse_symbols(files).select("file_id", "name", "full_source", "ordinal", "type", "signature", "visibility", "is_exported")
+    symbols = parse.with_defaults(graph.cut((_ranked_by_file(symbols) if o.use_graph else symbols).repartition("file_id")))
     if o.use_graph:
         symbols = parse.attach_imports(symbols, parse.imports_of(files), files)
-        edges = graph.unique_edges(_calls_by_file(symbols))
-        pr = _rank_by_file(symbols, edges)
-        symbols = symbols.join(pr, "id", "left")
     else:
         symbols = symbols.withColumns({"page_rank": F.lit(0.0), "import_statements": F.array().cast("array<string>")})
     ranked = ranking.rank(symbols.join(plan, "file_id"), F.col("body_threshold"), o.prompt, F.col("page_rank"))
-    filled = ranking.fill(ranked, F.col("budget"))
+    filled = ranking.fill(ranked, F.col("budget")).select("file_id", "position", "form", "rank", "name", "type", "signature", "full_source", "import_statements", "mode")
+    filled = graph.cut(filled.repartition("file_id"))
     imports = filled.filter("form != 'excluded'").groupBy("file_id").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("position", "import_statements"))), lambda e: e["import_statements"]))).alias("imports"))
     head = files.select("file_id", F.lit(o.task).alias("task"), F.lit(o.strategy).alias("strategy"), "content", "language").join(plan.select("file_id", "mode"), "file_id").join(imports, "file_id", "left")
     if not o.include_imports:
@@ -80,35 +80,13 @@ def optimize(files: DataFrame, o: Options = Options()) -> DataFrame:
     )
 
 
-def _calls_by_file(symbols: DataFrame) -> DataFrame:
-    """Edges between symbols of the same file: an equi join on the file, then substring tests."""
-    a = symbols.select("file_id", F.col("id").alias("src"), F.col("name").alias("own"), F.lower("full_source").alias("low"), "full_source")
-    b = symbols.select("file_id", F.col("id").alias("dst"), "name")
-    pair = a.join(b, "file_id").filter("src != dst")
-    call = pair.filter((F.col("own") != F.col("name")) & F.col("low").contains(F.lower("name"))).select("src", "dst", F.lit("call").alias("type"), F.lit(1.0).alias("weight"))
-    parent = F.regexp_extract("full_source", "extends\\s+([A-Za-z0-9_]+)", 1)
-    up = pair.filter(parent == F.col("name")).select("src", "dst", F.lit("inheritance").alias("type"), F.lit(2.0).alias("weight"))
-    listed = F.transform(F.split(F.regexp_extract("full_source", "implements\\s+([A-Za-z0-9_.,\\s]+)", 1), ","), lambda s: F.trim(s))
-    impl = pair.filter(F.array_contains(listed, F.col("name"))).select("src", "dst", F.lit("implementation").alias("type"), F.lit(1.5).alias("weight"))
-    return call.unionByName(up).unionByName(impl)
-
-
-def _rank_by_file(symbols: DataFrame, edges: DataFrame, rounds: int = graph.ROUNDS, d: float = graph.DAMPING) -> DataFrame:
-    """(id, page_rank) with each file a graph of its own, all files in the same rounds."""
-    ids = symbols.select("id", "file_id")
-    n = ids.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
-    links = graph.cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("outs")).alias("share")))
-    base = graph.cut(ids.join(n, "file_id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "file_id", "n", F.col("outs").isNull().alias("dangling")))
-    pr = base.withColumn("page_rank", F.lit(1.0) / F.col("n"))
-    for k in range(rounds):
-        lost = pr.groupBy("file_id").agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("page_rank"))), F.lit(0.0)).alias("lost"))
-        got = links.join(pr.select(F.col("id").alias("src"), "page_rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("page_rank") * F.col("share")).alias("got"))
-        new = F.lit(1 - d) / F.col("n") + F.lit(d) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        pr = base.join(got, "id", "left").join(lost, "file_id").select("id", "file_id", "n", "dangling", new.alias("page_rank"))
-        if k % graph.CUT_EVERY == graph.CUT_EVERY - 1:
-            pr = graph.cut(pr)
-    return pr.select("id", "page_rank")
+def _ranked_by_file(symbols: DataFrame) -> DataFrame:
+    """symbols with page_rank, each file a graph of its own: calls, parents and interfaces among its symbols as in operators.graph. A file's symbols come from one text, so one file is held at a time."""
+    first = ["file_id", "name", "full_source"]
+    rows = symbols.select(*first, F.lower("name").alias("_name"), F.lower("full_source").alias("_source"), *[c for c in symbols.columns if c not in first])
+    rows = rows.repartition("file_id").sortWithinPartitions("file_id", "ordinal")
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_name", "_source").schema)
+    return jvm.over_partitions(rows, jvm.made(symbols.sparkSession, ranking.SOURCE, "lexforge.symbols.Ranks", graph.ROUNDS, graph.DAMPING), f"{named}, page_rank double")
 
 
 def optimize_sync(files: DataFrame, o: Options = Options()) -> DataFrame:
@@ -127,8 +105,8 @@ def compress_context(files: DataFrame, language: str | None = None) -> DataFrame
 def extract_diff(pairs: DataFrame, strategy: str = "semantic", task: str = "general") -> DataFrame:
     """pairs (file_id, original, modified, language) -> code of new and changed symbols, their names, the other old names, savings against the modified text."""
     pairs = pairs.withColumn("file_id", F.col("file_id").cast("string"))
-    old, new = (parse.parse_symbols(pairs.select("file_id", F.col(c).alias("content"), "language")) for c in ("original", "modified"))
-    changed = serialize.changed_symbols(old, new)
+    old, new = (graph.cut(parse.parse_symbols(pairs.select("file_id", F.col(c).alias("content"), "language")).select("file_id", "ordinal", "name", "type", "signature", "full_source").repartition("file_id")) for c in ("original", "modified"))
+    changed = graph.cut(serialize.changed_symbols(old, new).repartition("file_id"))
     rest = serialize.unchanged_symbols(old, changed)
     full = changed.withColumns({"form": F.lit("body"), "position": F.col("ordinal")})
     head = pairs.select("file_id", F.lit(task).alias("task"), F.lit(strategy).alias("strategy"))

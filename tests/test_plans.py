@@ -136,3 +136,25 @@ def test_texts_as_files(spark):
     f = S.of_texts(spark, [("src/index.ts", "a"), ("b.py", "b")])
     assert [r.entry for r in S.entry_points(f).collect()] == ["src/index.ts", "index.ts"]
     assert f.select(T.tokens(F.col("content")).alias("t")).agg(F.sum("t")).first()[0] == 2
+
+
+def test_files_are_ranked_as_graphs_of_their_own(spark):
+    from lexforge.operators import graph as G
+    from lexforge.operators import parse
+
+    codes = ["export class A extends B implements I, J {\n  run(a: string) { return b1(); }\n}\nexport class B {\n  go() { this.run(1); }\n}\nexport interface I { x: number }\nexport interface J { y: number }\nfunction b1() { return new A(); }\n", many(7) + "function all() { return FN1() + fn2(); }\n", "let x = 1;"]
+    rows = parse.parse_symbols(files(spark, *codes)).select("file_id", "name", "full_source", "ordinal", "id", "is_exported")
+    got = {r.id: r.page_rank for r in P._ranked_by_file(rows).collect()}
+    assert len(got) == rows.count() and len(set(map(lambda x: round(x, 9), got.values()))) > 4
+    for k in ("0", "1"):
+        own = G.cut(rows.filter(rows.file_id == k))
+        for r in G.page_rank(own, G.cut(G.all_edges(own))).collect():
+            assert got[r.id] == pytest.approx(r.page_rank, abs=1e-12)
+
+
+def test_a_pipeline_parses_each_text_once(spark):
+    """What is asked for reads symbols that are kept, instead of parsing for each of its parts."""
+    f = files(spark, many(3), many(2))
+    pairs = f.select("file_id", F.col("content").alias("original"), F.replace("content", F.lit("return"), F.lit("return 1 +")).alias("modified"), "language")
+    for df in (P.optimize(f), P.optimize_sync(f), P.extract_diff(pairs)):
+        assert "InArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
